@@ -12,6 +12,8 @@ ids stay null. Whole texts are read.
 """
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,11 +111,10 @@ def _n_words(piece: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections (that are not suppressed)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    lowered = F.lower("text")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("low", F.lower("text"))
     gate = F.lit(False)
     for g in GATES:
-        gate = gate | F.contains(lowered, F.lit(g))
+        gate = gate | F.contains("low", F.lit(g))
     trimmed = F.trim(F.regexp_replace(F.translate("text", UPPER, LOWER), BREAKS, " "))
     rows = rows.select("doc_id", F.regexp_count("text", F.lit(WORDS)).cast("long").alias("n_words"), F.when(gate, F.concat(F.lit(" "), trimmed, F.lit(" "))).alias("norm"))
     # base places: pieces between the phrases give the word at which each place starts
@@ -128,7 +129,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         lasts.append(F.when(there, F.col("n_words") - (_n_words(F.element_at(pieces, -1)) - 1) - len(phrase.split())))
         base.append(F.when(there, F.lit(label)))
     found = F.filter(F.array(*base), lambda x: x.isNotNull())
-    ordered = F.array(*[F.struct(F.lit(r["priority"]).alias("priority"), F.lit(r["weight"]).alias("weight"), F.lit(r["label"]).alias("label"), F.lit(r["regex"]).alias("regex"), F.lit(r["keyword"]).alias("keyword")) for r in rules()])
+    # one literal: the optimizer reads it once
+    ordered = F.from_json(F.lit(json.dumps(rules())), "array<struct<priority:int,weight:double,label:string,regex:string,keyword:string>>")
     tried = F.when(F.col("norm").isNotNull(), F.filter(ordered, lambda r: F.contains(F.col("norm"), r["keyword"])))
     rows = rows.withColumn("rules", tried).withColumn("base", found)
     rows = rows.withColumn("n_base", places.cast("long")).withColumn("first_word", F.least(*firsts).cast("long")).withColumn("last_word", F.greatest(*lasts).cast("long"))
