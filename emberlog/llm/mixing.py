@@ -4,12 +4,15 @@ Targets: sources in code point order (null last) weigh ``weights`` in turn and s
 gets more than ``cap`` times its own size, and the excess is shared again by weight until none is above. That is
 min(cap * size, level * weight) with one level, found from running sums over the sources in order of cap * size / weight.
 
-A document is to be taken target / source size times: its whole part surely, its fraction by rounding. Two documents
-with fractions are paired; mass (size times fraction) moves between them, one way or the other with the probabilities
-that keep each one's expectation, until one is integral. The sum over the source so stays as it is. Blocks of about
-``block`` documents are folded so, largest first, which leaves at most one fraction each; these residuals form the next
-level's blocks, down to one residual per source, which is rounded to the nearer integer. A hot source only has more
-blocks. Randomness is a hash of the documents' keys, so reruns agree.
+A document is to be taken target / source size times: its whole part surely, its fraction by rounding. Large documents
+(above a 512th of their source, so at most 512 a source) come first, in order of size: each is paired with all that is
+left of its source, becomes integral with the probability that keeps its expectation, and the mass moved changes what
+is left for the others. The others are paired with each other: mass (size times fraction) moves between the two, one way or
+the other with the probabilities that keep each one's expectation, until one is integral; the sum over the source stays
+as it is. Blocks of about ``block`` documents are folded so, which leaves at most one fraction each; these residuals form
+the next level's blocks, down to one residual per source, which is rounded to the nearer integer and so moves the source
+by less than a thousandth. A hot source only has more blocks. Randomness is a hash of the documents' keys, so reruns
+agree.
 
 Defined results: null and empty texts have size 0 and are taken 0 times; repeated rows are numbered and rounded each for
 itself; null ids and sources are values like others; an empty table gives an empty one.
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, spool
 
-ITEM = "struct<o:bigint,h:bigint,id:bigint,r:bigint,s:bigint,p:double>"
+ITEM = "struct<o:bigint,h:bigint,id:bigint,r:bigint,s:bigint,w:bigint,p:double>"
 
 #: One pairing step of the fold. acc.c: the carried fraction, acc.d: settled documents.
 STEP = f"""
@@ -36,11 +39,20 @@ aggregate(items, named_struct('c', cast(null as {ITEM}), 'd', cast(array() as ar
      THEN named_struct('cp', IF(t.a = (1D - acc.c.p) * acc.c.s, 1D, acc.c.p + t.a / acc.c.s), 'xp', IF(t.a = x.p * x.s, 0D, x.p - t.a / x.s))
      ELSE named_struct('cp', IF(t.b = acc.c.p * acc.c.s, 0D, acc.c.p - t.b / acc.c.s), 'xp', IF(t.b = (1D - x.p) * x.s, 1D, x.p + t.b / x.s)) END),
    y -> named_struct(
-    'c', CASE WHEN y.cp > 1e-12D AND y.cp < 1D - 1e-12D THEN named_struct('o', acc.c.o, 'h', acc.c.h, 'id', acc.c.id, 'r', acc.c.r, 's', acc.c.s, 'p', y.cp)
-              WHEN y.xp > 1e-12D AND y.xp < 1D - 1e-12D THEN named_struct('o', x.o, 'h', x.h, 'id', x.id, 'r', x.r, 's', x.s, 'p', y.xp) END,
+    'c', CASE WHEN y.cp > 1e-12D AND y.cp < 1D - 1e-12D THEN named_struct('o', acc.c.o, 'h', acc.c.h, 'id', acc.c.id, 'r', acc.c.r, 's', acc.c.s, 'w', acc.c.w, 'p', y.cp)
+              WHEN y.xp > 1e-12D AND y.xp < 1D - 1e-12D THEN named_struct('o', x.o, 'h', x.h, 'id', x.id, 'r', x.r, 's', x.s, 'w', x.w, 'p', y.xp) END,
     'd', concat(acc.d, filter(array(
-      named_struct('o', acc.c.o, 'h', acc.c.h, 'id', acc.c.id, 'r', acc.c.r, 's', acc.c.s, 'p', y.cp),
-      named_struct('o', x.o, 'h', x.h, 'id', x.id, 'r', x.r, 's', x.s, 'p', y.xp)), z -> z.p <= 1e-12D OR z.p >= 1D - 1e-12D))))[0] END)
+      named_struct('o', acc.c.o, 'h', acc.c.h, 'id', acc.c.id, 'r', acc.c.r, 's', acc.c.s, 'w', acc.c.w, 'p', y.cp),
+      named_struct('o', x.o, 'h', x.h, 'id', x.id, 'r', x.r, 's', x.s, 'w', x.w, 'p', y.xp)), z -> z.p <= 1e-12D OR z.p >= 1D - 1e-12D))))[0] END)
+"""
+
+
+#: Large documents in order: left is what the source still has to give, mass the size of the documents still to come.
+LARGE = """
+aggregate(items, named_struct('left', target, 'mass', cast(source_size as double), 'd', cast(array() as array<struct<id:bigint,r:bigint,s:bigint,t:bigint>>)), (acc, x) ->
+ transform(transform(array(least(cast(cap as double), greatest(0D, acc.left / acc.mass))), v ->
+   cast(floor(v) + IF(acc.mass <= x.s, IF(v - floor(v) >= 0.5D, 1, 0), IF(pmod(xxhash64(x.h, seed), 9007199254740992L) / 9007199254740992D < v - floor(v), 1, 0)) as bigint)),
+  t -> named_struct('left', acc.left - t * x.s, 'mass', acc.mass - x.s, 'd', concat(acc.d, array(named_struct('id', x.id, 'r', x.r, 's', x.s, 't', t)))))[0])
 """
 
 
@@ -72,28 +84,35 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     most = goals.agg(F.max("n")).first()[0] or 0
     each = units.withColumn("r", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies")
     each = each.join(goals, each["src"].eqNullSafe(goals["src"])).drop(goals["src"])
-    x = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    each = spool(each.withColumn("h", F.xxhash64("id", "size", "r", F.lit(seed))))
+    large = F.col("size") * 512 > F.col("source_size")
+    item = F.struct((-F.col("size")).alias("o"), "h", "id", "r", F.col("size").alias("s"))
+    first = each.filter(large).groupBy("src", "source_size", "target").agg(F.array_sort(F.collect_list(item)).alias("items")).withColumns({"seed": F.lit(seed), "cap": F.lit(cap)})
+    first = spool(first.select("src", F.expr(LARGE).alias("f")))
+    left = first.select(F.col("src").alias("l_src"), F.col("f.left").alias("left"), F.col("f.mass").alias("mass"))
+    rest = each.filter(~large & (F.col("size") > 0)).join(left, F.col("src").eqNullSafe(F.col("l_src")), "left")
+    x = F.least(F.lit(float(cap)), F.greatest(F.lit(0.0), F.coalesce("left", "target") / F.coalesce("mass", F.col("source_size").cast("double"))))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block))
-    each = spool(each.withColumn("x", x).withColumn("whole", F.floor("x")).withColumn("p", F.col("x") - F.col("whole")).withColumn("h", F.xxhash64("id", "size", "r", F.lit(seed))).withColumn("blk", F.pmod("h", blocks)))
-    level = each.filter("size > 0 AND p > 0").select("src", "blk", F.struct((-F.col("size")).alias("o"), "h", "id", "r", F.col("size").alias("s"), "p").alias("item"))
-    settled, n = [], most
+    rest = spool(rest.withColumn("x", x).select("src", "n", F.pmod("h", blocks).alias("blk"), F.struct((-F.col("size")).alias("o"), "h", "id", "r", F.col("size").alias("s"), F.floor("x").alias("w"), (F.col("x") - F.floor("x")).alias("p")).alias("item")))
+    level, n = rest.filter("item.p > 0").select("src", "blk", "item"), most
+    done = [rest.filter("item.p = 0").select("src", "item")]
     while True:
         folded = level.groupBy("src", "blk").agg(F.array_sort(F.collect_list("item")).alias("items")).withColumn("seed", F.lit(seed))
         folded = spool(folded.select("src", "blk", F.expr(STEP).alias("f")))
-        settled.append(folded.select("src", F.explode("f.d").alias("item")))
-        rest = folded.filter("f.c IS NOT NULL")
+        done.append(folded.select("src", F.explode("f.d").alias("item")))
+        over = folded.filter("f.c IS NOT NULL").select("src", "blk", F.col("f.c").alias("item"))
         n = -(-n // block)
         if n <= 1:
             break
-        level = rest.select("src", F.floor(F.col("blk") / block).alias("blk"), F.col("f.c").alias("item"))
-    settled.append(rest.select("src", F.col("f.c").alias("item")))
-    done = settled[0]
-    for s in settled[1:]:
-        done = done.union(s)
-    done = done.select(F.col("src").alias("_src"), F.col("item.id").alias("_id"), F.col("item.r").alias("_r"), F.col("item.s").alias("_s"), F.round("item.p").cast("long").alias("up"))
-    on = each["src"].eqNullSafe(done["_src"]) & each["id"].eqNullSafe(done["_id"]) & (each["r"] == done["_r"]) & (each["size"] == done["_s"])
-    times = F.when(F.col("size") > 0, F.col("whole") + F.coalesce("up", F.lit(0))).otherwise(0).cast("long")
-    return each.join(done, on, "left").select("id", "src", "size", "r", "source_size", "target", times.alias("times"))
+        level = over.withColumn("blk", F.floor(F.col("blk") / block))
+    found = over.select("src", "item")
+    for d in done:
+        found = found.union(d)
+    found = found.select("src", "item.id", "item.r", F.col("item.s").alias("size"), (F.col("item.w") + F.round("item.p").cast("long")).alias("times"))
+    found = found.union(first.select("src", F.explode("f.d").alias("d")).select("src", "d.id", "d.r", "d.s", "d.t"))
+    found = found.union(each.filter("size = 0").select("src", "id", "r", "size", F.lit(0).cast("long")))
+    sums = goals.select(F.col("src").alias("g_src"), "source_size", "target")
+    return found.join(sums, F.col("src").eqNullSafe(F.col("g_src"))).select("id", "src", "size", "r", "source_size", "target", "times")
 
 
 def take(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:

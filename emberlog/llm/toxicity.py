@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 
 SAMPLE = 12_000
-BITS = 22
+BITS = 20
 TOKEN = regex.compile(r"[\p{L}\p{N}]+")
 #: Most words whose hashes are remembered in a Python worker.
 REMEMBERED = 500_000
@@ -80,7 +80,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(sums, -30, 30)))
 
 
-def train(rows: list[tuple[str | None, int]], bits: int = BITS, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.5, l2: float = 1.0, epochs: int = 3) -> Model:
+def train(rows: list[tuple[str | None, int]], bits: int = BITS, alpha: float = 1.0, beta: float = 1.0, l1: float = 5.0, l2: float = 0.0, epochs: int = 3) -> Model:
     """FTRL-proximal with per-coordinate rates. The order of the rows is the order of the updates."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     zb = nb = bias = 0.0
