@@ -1,6 +1,7 @@
 """What the operators share: spooling, word patterns, Arrow batches in slices."""
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -27,7 +28,22 @@ def spool(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/emberlog-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.spooled = path
+    return out
+
+
+def unspool(df: DataFrame) -> None:
+    """Deletes what spool() has written for df, once nothing reads it any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df.spooled)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more; it does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def by_slices(fn: Callable[[dict[str, list]], dict[str, list] | pa.RecordBatch], schema: pa.Schema, rows: int = 256) -> Callable:

@@ -29,12 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_slices, signed, spool
+from .common import by_slices, release, signed, spool, unspool
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xC2B2AE3D27D4EB4F)
 #: Most words whose hashes are remembered in a Python worker.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -255,24 +255,57 @@ def components(links: DataFrame) -> DataFrame:
         state = new
 
 
+#: Bits of the filter that keeps the texts of other documents from being read again: 1 MB, whatever the corpus.
+FILTER_BITS = 1 << 23
+
+
+def _places(of: str) -> list:
+    return [F.pmod(F.xxhash64(F.col(of), F.lit(k)), F.lit(FILTER_BITS)) for k in (1, 2)]
+
+
+def _filter_of(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of ids as 64-bit words. Its size is fixed; a full one lets everything pass, which is slower but right."""
+    bits = ids.select(F.explode(F.array(*_places(ids.columns[0]))).alias("bit"))
+    words = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
+    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    for row in words.toLocalIterator():
+        out[row["word"]] = row["bits"] & 0xFFFFFFFFFFFFFFFF
+    return out
+
+
+def _sets_of(docs: DataFrame, wanted: np.ndarray, width: int) -> DataFrame:
+    """d, s (the sorted hashes) of the documents that pass the filter; those without an id do."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        for batch in batches:
+            a, b = (batch.column(x).to_numpy() for x in ("a", "b"))
+            there = np.ones(len(a), bool)
+            for bit in (a, b):
+                there &= (words[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
+            there |= batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+            texts = batch.column("text").filter(pa.array(there))
+            for at in range(0, len(texts), 256):
+                found = [s for s in (shingles(t, width) for t in texts.slice(at, 256).to_pylist()) if len(s)]
+                yield pa.RecordBatch.from_pydict({"d": [digest(s) for s in found], "s": [s.tobytes() for s in found]}, schema=pa.schema([("d", pa.int64()), ("s", pa.binary())]))
+
+    a, b = _places("doc_id")
+    return docs.select("doc_id", "text", a.alias("a"), b.alias("b")).mapInArrow(run, "d long, s binary")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, block: int = 64, blocks: int = 32) -> DataFrame:
     """doc_id, n_shingles, component_id: a row per document, with the smallest id of its class."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    own = spool(_sets(docs, width, percent))
-    keyed = own.filter("size(keys) > 0").select(F.explode("keys").alias("key"), "d")
-    met = spool(keyed.repartition("key").sortWithinPartitions("key", "d").mapInArrow(_meetings, "hub long, d long").distinct())
+    keys = spool(_sets(docs, width, percent))
+    met = spool(keys.filter("size(keys) > 0").select(F.explode("keys").alias("key"), "d").repartition("key").sortWithinPartitions("key", "d").mapInArrow(_meetings, "hub long, d long").distinct())
+    own = spool(keys.select("doc_id", "n", "d"))
+    unspool(keys)
+    release(docs.sparkSession)
     first = own.filter("d IS NOT NULL").groupBy("d").agg(F.min("doc_id").alias("least"))
     # the sets of members, from one text each
-    members = met.select("d").union(met.select(F.col("hub").alias("d"))).distinct().join(first, "d").select(F.col("least").alias("m_id"), F.col("d").alias("m_d"))
-    texts = docs.join(members, docs["doc_id"].eqNullSafe(members["m_id"])).select("text", F.col("m_d").alias("d"))
-    out = pa.schema([("d", pa.int64()), ("s", pa.binary())])
-
-    def again(rows: dict[str, list]) -> dict[str, list]:
-        found = [(d, s.tobytes()) for d, s in ((d, shingles(t, width)) for d, t in zip(rows["d"], rows["text"])) if len(s) and digest(s) == d]
-        return {"d": [d for d, _ in found], "s": [s for _, s in found]}
-
-    sets = texts.mapInArrow(by_slices(again, out), "d long, s binary")
-    # few blocks, so that the copies of a set stay few; more only where blocks would outgrow memory
+    members = met.select("d").union(met.select(F.col("hub").alias("d"))).distinct().join(first, "d")
+    sets = _sets_of(docs, _filter_of(members.select("least")), width)
     parts = F.greatest(F.least(F.ceil(F.col("n") / block), F.lit(blocks)), F.ceil(F.col("n") / 8192)).cast("int")
     size = spool(met.groupBy("hub").agg((F.count("*") + 1).alias("n")).select("hub", parts.alias("parts")))
     rows = met.union(size.select("hub", F.col("hub").alias("d"))).join(size, "hub")

@@ -30,7 +30,7 @@ SAMPLE = 12_000
 BITS = 20
 TOKEN = regex.compile(r"[\p{L}\p{N}]+")
 #: Most words whose hashes are remembered in a Python worker.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 
 class Hashes(dict):

@@ -16,7 +16,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 #: Most words remembered in a Python worker (about 150 bytes each).
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: The tokenizer's own cut, a fixed value.
 CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 END = "</w>"
