@@ -294,7 +294,7 @@ def _sets_of(docs: DataFrame, wanted: np.ndarray, width: int) -> DataFrame:
     return docs.select("doc_id", "text", a.alias("a"), b.alias("b")).mapInArrow(run, "d long, s binary")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, block: int = 64, blocks: int = 32) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, block: int = 64, blocks: int = 10) -> DataFrame:
     """doc_id, n_shingles, component_id: a row per document, with the smallest id of its class."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     keys = spool(_sets(docs, width, percent))
