@@ -117,10 +117,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
 def take(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with every row as many times as the mix takes it; columns as before."""
-    names = docs.columns
-    chosen = mix(docs, id_col, source_col, text_col, **how).filter("times > 0").select(F.col("id").alias("_id"), F.col("src").alias("_src"), F.col("size").alias("_size"), F.col("r").alias("_r"), F.col("times").alias("_times"))
-    keyed = docs.withColumn("_k_id", F.col(id_col).cast("long")).withColumn("_k_src", F.col(source_col).cast("string")).withColumn("_k_size", word_count(F.col(text_col)))
+    chosen = mix(docs, id_col, source_col, text_col, **how).filter("times > 0")
+    # the row goes along as one struct, so that no column of it can clash
+    keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("k_id"), F.col(source_col).cast("string").alias("k_src"), word_count(F.col(text_col)).alias("k_size"), F.xxhash64(F.col(text_col)).alias("k_text"))
     # numbered among rows that agree in id, source and size; the text's hash makes the order the same in every run
-    keyed = keyed.withColumn("_k_r", F.row_number().over(Window.partitionBy("_k_id", "_k_src", "_k_size").orderBy(F.xxhash64(F.col(text_col)))))
-    on = keyed["_k_id"].eqNullSafe(chosen["_id"]) & keyed["_k_src"].eqNullSafe(chosen["_src"]) & (keyed["_k_size"] == chosen["_size"]) & (keyed["_k_r"] == chosen["_r"])
-    return keyed.join(chosen, on).withColumn("_n", F.explode(F.expr("sequence(1, cast(_times as int))"))).select(*names)
+    keyed = keyed.withColumn("k_r", F.row_number().over(Window.partitionBy("k_id", "k_src", "k_size").orderBy("k_text")))
+    on = F.col("k_id").eqNullSafe(F.col("id")) & F.col("k_src").eqNullSafe(F.col("src")) & (F.col("k_size") == F.col("size")) & (F.col("k_r") == F.col("r"))
+    return keyed.join(chosen, on).withColumn("n", F.explode(F.expr("sequence(1, cast(times as int))"))).select("row.*")

@@ -88,26 +88,26 @@ def line_frequency(docs: DataFrame, id_col: str = "doc_id", host_col: str = "sou
 
 def remove_lines(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", max_texts: int = 20, max_lost: int = 50) -> DataFrame:
     """``docs`` without the documents that the method rejects and without the lines above the limit in the others."""
-    judged = spool(docs.withColumn("_rid", F.monotonically_increasing_id()))
+    judged = spool(docs.withColumn("__emberlog_rid", F.monotonically_increasing_id()))
 
     def keys(cols: dict[str, list]) -> dict[str, list]:
         got = measure(cols)
         return {"rid": got["rid"], "hash": got["text_hash"], "keys": got["line_keys"]}
 
     out = pa.schema([("rid", pa.int64()), ("hash", pa.int64()), ("keys", pa.list_(pa.int64()))])
-    base = spool(judged.select(F.lit(0).cast("long").alias("doc_id"), F.col("_rid").alias("rid"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text")).mapInArrow(by_slices(keys, out), "rid long, hash long, keys array<long>"))
+    base = spool(judged.select(F.lit(0).cast("long").alias("doc_id"), F.col("__emberlog_rid").alias("rid"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text")).mapInArrow(by_slices(keys, out), "rid long, hash long, keys array<long>"))
     lines = base.select("rid", "hash", F.explode("keys").alias("key"))
     above = lines.select("key", "hash").distinct().groupBy("key").count().filter(F.col("count") > max_texts).select("key")
-    drop = lines.join(above, "key").groupBy("rid").agg(F.collect_set("key").alias("_drop"))
-    joined = judged.join(drop, judged["_rid"] == drop["rid"], "left").drop("rid")
-    fields = joined.drop("_drop").schema
-    names = [f.name for f in fields if f.name != "_rid"]
+    drop = lines.join(above, "key").groupBy("rid").agg(F.collect_set("key").alias("__emberlog_drop"))
+    joined = judged.join(drop, judged["__emberlog_rid"] == drop["rid"], "left").drop("rid")
+    fields = joined.drop("__emberlog_drop").schema
+    names = [f.name for f in fields if f.name != "__emberlog_rid"]
 
     def rewrite(batches):
         for batch in batches:
             cols = batch.to_pydict()
             keep = []
-            for i, drop in enumerate(cols["_drop"]):
+            for i, drop in enumerate(cols["__emberlog_drop"]):
                 text, host = cols[text_col][i], cols[host_col][i]
                 if not drop or text is None:
                     keep.append(i)
@@ -129,4 +129,4 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", host_col: str = "sourc
             whole = pa.RecordBatch.from_pydict({n: cols[n] for n in names}, schema=pa.schema([batch.schema.field(n) for n in names]))
             yield whole.take(pa.array(keep, pa.int64()))
 
-    return joined.mapInArrow(rewrite, type(fields)([f for f in fields if f.name != "_rid"]))
+    return joined.mapInArrow(rewrite, type(fields)([f for f in fields if f.name != "__emberlog_rid"]))

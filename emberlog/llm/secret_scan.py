@@ -29,6 +29,9 @@ BASE = (
 KINDS = ("assign", "access", "hex", "guess")
 CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|auth|bearer|credentials?|private[_-]?key|pin)["']?[\x20\t]{0,4}(?:[:=]|=>|\bis\b)[\x20\t]{0,4}["']?(?:bearer\x20)?([^\s"'<>`,;]{6,})""", re.I | re.A)
 
+#: An assignment inside a value: the value proper comes after it.
+NESTED = re.compile(r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|auth|credentials?)["']?[:=]["']?""", re.I | re.A)
+
 #: Words that guessers try first; a longer list can be given.
 WORDS = tuple("""password passwd pass secret token key api admin root user login test guest welcome monkey dragon master
 letmein shadow sunshine princess football baseball superman batman trustno hello freedom whatever love money summer winter
@@ -105,6 +108,8 @@ def guess_spans(text: str, base: list[tuple[int, int, str]], min_log10: float, w
     found = []
     for m in CONTEXT.finditer(text):
         a, b = m.span(1)
+        while n := NESTED.match(text, a, b):
+            a = n.end()
         while b > a and text[b - 1] in ".!?)]}:":
             b -= 1
         if b - a >= 6 and not any(x <= a and b <= y for x, y, _ in base) and guess_cost(text[a:b], words) >= min_log10:
