@@ -7,7 +7,10 @@
    empty. A set gives one key for each non-empty segment (sets with more than e empty ones also give keys for those).
    Unlike a single shingle, a segment holds several, so passages that many documents share make no large groups.
 3. Vertices that meet at a key are tied to the smallest of them, its hub. The members of a hub are a tile: any linked
-   pair is together in one. Tiles of many members are dealt as pairs of blocks.
+   pair is together in one. A tile of many members is dealt in blocks, each with the hub: a block joins its own members.
+   Members that are joined to the hub by then are joined to each other, whatever their block. Only the loose ones, which
+   are not, are compared with all members of the tile in a second pass. So a large group of near copies costs about as
+   many rows as it has members, not rows for all pairs of blocks.
 4. In a tile, sets are sorted by size; each is compared with those no larger than the limit allows. Bitmaps with a bit
    for each hashed shingle bound the overlap from above: |A and B| <= |A| - bits(A without B), and the same for B. Only pairs
    that pass, and that no earlier link has joined, have their sorted arrays intersected.
@@ -171,8 +174,11 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["hub", "d"])
 
 
-def tile_links(ds: list[int], sets: list[np.ndarray], sides: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
-    """Links that join the members of a tile as all its linked pairs do. sides: 0 or 1, where only pairs across count."""
+def tile_links(ds: list[int], sets: list[np.ndarray], percent: int, sides: np.ndarray | None = None, joined: np.ndarray | None = None) -> tuple[list[tuple[int, int]], set[int]]:
+    """Links that join the members of a tile as all its linked pairs do, and the members that share the first one's group.
+
+    sides: 0 or 1, where only pairs across count. joined: marks members that are known to be in one group.
+    """
     order = np.argsort([len(s) for s in sets], kind="stable")
     sets, d = [sets[i] for i in order], np.array([ds[i] for i in order])
     side = None if sides is None else sides[order]
@@ -185,6 +191,8 @@ def tile_links(ds: list[int], sets: list[np.ndarray], sides: np.ndarray | None,
         np.bitwise_or.at(bits[i], place >> 6, np.uint64(1) << (place & 63).astype(np.uint64))
     count = np.bitwise_count(bits).sum(1, dtype=np.int64)
     group, links = np.arange(n), []
+    if joined is not None and joined.any():
+        group[joined[order]] = np.flatnonzero(joined[order])[0]
     for i in range(n):
         stop = np.searchsorted(size, size[i] * 100 // percent, side="right")
         for at in range(i + 1, stop, 2048):
@@ -203,30 +211,44 @@ def tile_links(ds: list[int], sets: list[np.ndarray], sides: np.ndarray | None,
                 if linked(common, size[i], size[k], percent):
                     links.append((int(min(d[i], d[k])), int(max(d[i], d[k]))))
                     group[group == group[k]] = group[i]
-    return links
+    return links, set(d[group == group[np.flatnonzero(order == 0)[0]]].tolist())
+
+
+#: A link (hub is null), or a loose member: the hub, the member as a, and no b.
+LINKS = pa.schema([("hub", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+#: What a row is in its tile.
+HUB, MEMBER, LOOSE, VISITOR = 0, 1, 2, 3
 
 
-LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+DEALT = ("hub", "i", "j", "d", "kind", "parts", "s")
 
 
-def _tiles(percent: int):
+def _tiles(percent: int, second: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by (hub, i, j): one tile after the other."""
 
         def links(tile: list) -> pa.RecordBatch:
-            (_, i, j), rows = tile
-            sides = np.array([b == j for _, _, b in rows], np.int8) if i != j else None
-            found = tile_links([d for d, _, _ in rows], [s for _, s, _ in rows], sides, percent)
-            return pa.RecordBatch.from_pydict({"a": [a for a, _ in found], "b": [b for _, b in found]}, schema=LINKS)
+            (hub, *_), rows = tile
+            rows.sort(key=lambda x: x[2])  # the hub comes first
+            ds, sets, kind = [d for d, _, _, _ in rows], [s for _, s, _, _ in rows], np.array([k for _, _, k, _ in rows])
+            if second:
+                found, loose = [], []
+                if kind[-1] == VISITOR:
+                    found, _ = tile_links(ds, sets, percent, (kind == VISITOR).astype(np.int8), kind == MEMBER)
+            else:
+                found, core = tile_links(ds, sets, percent)
+                loose = [d for d in ds if d not in core] if rows[0][3] > 1 else []
+            none = [None] * len(found)
+            return pa.RecordBatch.from_pydict({"hub": none + [hub] * len(loose), "a": [a for a, _ in found] + loose, "b": [b for _, b in found] + [None] * len(loose)}, schema=LINKS)
 
         tile: list | None = None
         for batch in batches:
-            for hub, i, j, d, block, s in zip(*(batch.column(x).to_pylist() for x in ("hub", "i", "j", "d", "block", "s"))):
+            for hub, i, j, d, kind, parts, s in zip(*(batch.column(x).to_pylist() for x in DEALT)):
                 if tile is None or tile[0] != (hub, i, j):
                     if tile is not None:
                         yield links(tile)
                     tile = [(hub, i, j), []]
-                tile[1].append((d, np.frombuffer(s, np.uint64), block))
+                tile[1].append((d, np.frombuffer(s, np.uint64), kind, parts))
         if tile is not None:
             yield links(tile)
 
@@ -294,8 +316,25 @@ def _sets_of(docs: DataFrame, wanted: np.ndarray, width: int) -> DataFrame:
     return docs.select("doc_id", "text", a.alias("a"), b.alias("b")).mapInArrow(run, "d long, s binary")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, block: int = 64, blocks: int = 10) -> DataFrame:
-    """doc_id, n_shingles, component_id: a row per document, with the smallest id of its class."""
+def _link(rows: DataFrame, sets: DataFrame, percent: int, second: bool = False) -> DataFrame:
+    dealt = rows.join(sets, "d").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "d")
+    return spool(dealt.select(*DEALT).mapInArrow(_tiles(percent, second), "hub long, a long, b long"))
+
+
+def _in_part(parts: str) -> "F.Column":
+    return F.pmod(F.xxhash64("d"), F.col(parts)).cast("int")
+
+
+def _every_part(parts: str) -> "F.Column":
+    return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, block: int = 64, blocks: int = 32) -> DataFrame:
+    """doc_id, n_shingles, component_id: a row per document, with the smallest id of its class.
+
+    A tile's first pass has blocks of ``block`` members, or ``blocks`` blocks until these hold 8192 members each. In the
+    second, ``64 * block`` loose members meet ``16 * block`` members at a time.
+    """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     keys = spool(_sets(docs, width, percent))
     met = spool(keys.filter("size(keys) > 0").select(F.explode("keys").alias("key"), "d").repartition("key").sortWithinPartitions("key", "d").mapInArrow(_meetings, "hub long, d long").distinct())
@@ -308,11 +347,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = _sets_of(docs, _filter_of(members.select("least")), width)
     parts = F.greatest(F.least(F.ceil(F.col("n") / block), F.lit(blocks)), F.ceil(F.col("n") / 8192)).cast("int")
     size = spool(met.groupBy("hub").agg((F.count("*") + 1).alias("n")).select("hub", parts.alias("parts")))
-    rows = met.union(size.select("hub", F.col("hub").alias("d"))).join(size, "hub")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("d"), F.col("parts")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("hub", "d", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
-    dealt = rows.join(sets, "d").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "d")
-    links = dealt.select("hub", "i", "j", "d", "block", "s").mapInArrow(_tiles(percent), "a long, b long")
+    hubs = size.withColumn("i", _every_part("parts")).select("hub", "i", F.col("hub").alias("d"), F.lit(HUB).alias("kind"), "parts")
+    rows = met.join(size, "hub").select("hub", _in_part("parts").alias("i"), "d", F.lit(MEMBER).alias("kind"), "parts").union(hubs)
+    first_pass = _link(rows.withColumn("j", F.lit(0)), sets, percent)
+    loose = spool(first_pass.filter("hub IS NOT NULL").select("hub", F.col("a").alias("d")).distinct())
+    wide = spool(loose.groupBy("hub").agg(F.count("*").alias("m")).join(met.groupBy("hub").agg(F.count("*").alias("n")), "hub").select(
+        "hub", F.ceil(F.col("n") / (16 * block)).cast("int").alias("parts"), F.ceil(F.col("m") / (64 * block)).cast("int").alias("visits")))
+    links = first_pass
+    if not wide.isEmpty():
+        members = met.join(wide, "hub").join(loose.withColumn("is_loose", F.lit(True)), ["hub", "d"], "left")
+        members = members.select("hub", _in_part("parts").alias("i"), _every_part("visits").alias("j"), "d", F.when(F.col("is_loose"), LOOSE).otherwise(MEMBER).alias("kind"), "parts")
+        visitors = loose.join(wide, "hub").select("hub", _every_part("parts").alias("i"), _in_part("visits").alias("j"), "d", F.lit(VISITOR).alias("kind"), "parts")
+        again = members.select("d").distinct().join(first, "d").select("least")
+        links = links.union(_link(members.unionByName(visitors), _sets_of(docs, _filter_of(again), width), percent, second=True))
+    links = links.filter("hub IS NULL").select("a", "b")
     roots = components(links)
     least = spool(roots.join(first.withColumnRenamed("d", "node"), "node"))
     smallest = spool(least.groupBy("root").agg(F.min("least").alias("component")))

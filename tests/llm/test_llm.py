@@ -294,6 +294,18 @@ def test_near_duplicates(spark, odd):
     assert kept.columns == odd.columns and sorted(x["doc_id"] or -1 for x in kept.collect()) == [-1, 1, 3, 4, 6, 7]
 
 
+def test_loose_members_of_large_tiles(spark):
+    r = random.Random(11)
+    texts, words = {}, [f"t{k}" for k in range(60)]
+    for i in range(240):  # a drifting chain: few are linked to any one hub
+        texts[i] = " ".join(words)
+        words[r.randrange(60)] = f"x{i}"
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for percent in (80, 90):
+        got = {x["doc_id"]: x["component_id"] for x in jaccard_join.near_duplicates(docs, width=2, percent=percent, block=1, blocks=9).collect()}
+        assert got == _classes(texts, 2, percent)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 150), (5, 5)]
     got = {x["node"]: x["root"] for x in jaccard_join.components(spark.createDataFrame(links, "a long, b long")).collect()}
