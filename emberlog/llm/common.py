@@ -1,6 +1,7 @@
 """What the operators share: spooling, word patterns, Arrow batches in slices."""
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -12,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Words by ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 _own: list[str] = []
+#: The operator at work in this Python worker, and what lets go of what it remembers.
+_at_work: list = [None, lambda: None]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,6 +49,19 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def at_work(name: str, forget: Callable[[], None]) -> None:
+    """Called where an operator's tasks begin. A Python worker outlives its tasks and serves one operator after the other,
+    so what the last one has remembered in it is let go here, and freed memory returned."""
+    if _at_work[0] == name:
+        return
+    _at_work[1]()
+    _at_work[:] = [name, forget]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def by_slices(fn: Callable[[dict[str, list]], dict[str, list] | pa.RecordBatch], schema: pa.Schema, rows: int = 256) -> Callable:
     """For mapInArrow: calls fn on columns of at most ``rows`` rows, so that few texts are Python objects at a time."""
 

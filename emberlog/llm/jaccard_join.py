@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_slices, release, signed, spool, unspool
+from .common import at_work, by_slices, release, signed, spool, unspool
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -52,6 +52,10 @@ class Hashes(dict):
 _hashes = Hashes()
 
 
+def begin() -> None:
+    at_work("jaccard_join", _hashes.clear)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * ODD
     x = (x ^ (x >> np.uint64(29))) * MIX
@@ -136,6 +140,7 @@ def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, n, d (digest; null for the empty set), keys (null where the task has given those of this digest already)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         scheme, seen = Scheme(percent), set()
 
         def part(rows: dict[str, list]) -> pa.RecordBatch:
@@ -300,6 +305,7 @@ def _sets_of(docs: DataFrame, wanted: np.ndarray, width: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         words = shared.value
         for batch in batches:
             a, b = (batch.column(x).to_numpy() for x in ("a", "b"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_slices, spool
+from .common import at_work, by_slices, spool
 from .word_ids import WordIds
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -38,11 +38,16 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+def begin() -> None:
+    at_work("packing", word_ids.cache_clear)
+
+
 def pieces(docs: DataFrame, length: int, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: every document's ids and end id, cut into pieces of at most ``length``."""
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
 
     def run(rows: dict[str, list]) -> dict[str, list]:
+        begin()
         made: dict[str, list] = {x: [] for x in PIECES.names}
         end = np.array([end_id], "<u4").tobytes()
         for key, data in zip(rows["doc_id"], word_ids(path).encode([x or "" for x in rows["text"]])):

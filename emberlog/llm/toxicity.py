@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
+from .common import at_work
 
 SAMPLE = 12_000
 BITS = 20
@@ -44,6 +44,10 @@ class Hashes(dict):
 _hashes = Hashes()
 
 
+def begin() -> None:
+    at_work("toxicity", _hashes.clear)
+
+
 def features(text: str, bits: int = BITS) -> np.ndarray:
     """The hashed places of a text's features, with repeats."""
     words = TOKEN.findall(text.lower())
@@ -57,6 +61,10 @@ def features(text: str, bits: int = BITS) -> np.ndarray:
     return (np.concatenate([w, pair * odd, skip * odd]) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def distinct(text: str | None, bits: int = BITS) -> np.ndarray:
+    return np.unique(features(text or "", bits)).astype(np.int32)
+
+
 @dataclass
 class Model:
     places: np.ndarray
@@ -80,13 +88,12 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(sums, -30, 30)))
 
 
-def train(rows: list[tuple[str | None, int]], bits: int = BITS, alpha: float = 1.0, beta: float = 1.0, l1: float = 5.0, l2: float = 0.0, epochs: int = 3) -> Model:
-    """FTRL-proximal with per-coordinate rates. The order of the rows is the order of the updates."""
+def train(rows: list[tuple[np.ndarray, int]], bits: int = BITS, alpha: float = 1.0, beta: float = 1.0, l1: float = 5.0, l2: float = 0.0, epochs: int = 3) -> Model:
+    """FTRL-proximal with per-coordinate rates, from distinct places and labels. The order of the rows is the order of the updates."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     zb = nb = bias = 0.0
-    sets = [np.unique(features(t or "", bits)).astype(np.int32) for t, _ in rows]
     for _ in range(epochs):
-        for f, (_, y) in zip(sets, rows):
+        for f, y in rows:
             zf, nf = z[f], n[f]
             w = np.where(np.abs(zf) <= l1, 0.0, -(zf - np.sign(zf) * l1) / ((beta + np.sqrt(nf)) / alpha + l2))
             bias = -zb / ((beta + np.sqrt(nb)) / alpha)
@@ -117,8 +124,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = rows.groupBy("_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("_y").alias("y")).withColumn("h", F.xxhash64("_id"))
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = sorted((h, i, t, y) for b in batches for h, i, t, y in zip(*(b.column(x).to_pylist() for x in ("h", "_id", "text", "y"))))
-        m = train([(t, int(y > 0)) for _, _, t, y in got], bits)
+        begin()
+        got = []  # texts are let go batch by batch
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                got += ((h, i, distinct(t, bits), int(y > 0)) for h, i, t, y in zip(*(part.column(x).to_pylist() for x in ("h", "_id", "text", "y"))))
+        got.sort(key=lambda x: x[:2])
+        m = train([x[2:] for x in got], bits)
         yield pa.RecordBatch.from_pydict({"places": [m.places.tolist()], "weights": [m.weights.tolist()], "bias": [m.bias], "trained": [m.trained]}, schema=pa.schema([("places", pa.list_(pa.int64())), ("weights", pa.list_(pa.float32())), ("bias", pa.float64()), ("trained", pa.bool_())]))
 
     got = rows.repartition(1).mapInArrow(one, "places array<long>, weights array<float>, bias double, trained boolean").collect()
@@ -134,6 +147,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", bits: int = BIT
     schema = base.withColumn(into, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
