@@ -258,6 +258,15 @@ def test_toxicity(spark, odd):
     assert toxicity.score(odd, toxicity.fit(docs, labels.limit(0))).agg({"score": "max"}).first()[0] == 0
 
 
+def test_workers_let_go():
+    toxicity.begin()
+    toxicity.features("some words")
+    toxicity.begin()
+    assert toxicity._hashes
+    jaccard_join.begin()
+    assert not toxicity._hashes
+
+
 def _classes(texts, width, percent):
     sets = {i: {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set() for i, t in texts.items() for w in [(t or "").lower().split()]}
     root = {i: i for i in sets}
