@@ -1,9 +1,12 @@
 """License scans with ordered signature rules, in DataFrame operations only.
 
 A text is brought to words (A-Z in lower case; everything else ASCII that is no digit separates) with one space between.
-Rules are regexes over that form, made from licence names and templates. A rule is tried only where its keyword occurs;
-texts without any keyword are not even brought to words. Detections are intervals of words. One is suppressed where
-another of the same or a better priority, read before it in order of (start, longer first, priority), contains it.
+Rules are regexes over that form: names and versioned families of licences in templates, alone (at a lower priority, and
+only where the name cannot mean something else), and key sentences of the licences' own wording. A rule is tried only
+where its keyword occurs; texts without any gate are not even brought to words. Detections are intervals of words. One is
+suppressed where another of the same or a better priority, read before it in order of (start, longer first, priority),
+contains it. Labels end in -or-later where the text says so; a family's label (gpl, mpl, bsd) means that no version is
+given. A "+" after a version is no word and is not seen.
 
 Base phrases are counted at every place and their labels stay, whatever is suppressed.
 
@@ -72,36 +75,158 @@ NAMES = {
     "cc-by-nc-sa": ("cc by nc sa 4 0", "creative commons attribution noncommercial sharealike 4 0"),
     "cc-by-nc-nd": ("cc by nc nd 4 0", "creative commons attribution noncommercial noderivatives 4 0"),
 }
+#: Names that mean a licence only beside a word that says so ("mit" is German for "with").
+AMBIGUOUS = frozenset((
+    "mit", "expat", "apache 2 0", "apache 1 1", "freebsd", "simplified bsd", "new bsd", "modified bsd", "revised bsd", "original bsd", "isc", "internet systems consortium",
+    "zlib", "zlib libpng", "python 2 0", "psf 2 0", "postgresql", "ncsa", "openssl", "ms pl", "ms rl", "elastic 2 0", "artistic 1 0", "artistic 2 0", "bsl 1 0",
+))
+
+#: family: names in full, short names, versions and their labels, whether "or later" is told apart.
+FAMILIES = {
+    "gpl": (("gnu general public license", "gnu gpl"), ("gpl",), {"1": "gpl-1", "2": "gpl-2", "3": "gpl-3"}, True),
+    "lgpl": (("gnu lesser general public license", "gnu library general public license", "gnu lgpl"), ("lgpl",), {"2": "lgpl-2", "2 1": "lgpl-2.1", "3": "lgpl-3"}, True),
+    "agpl": (("gnu affero general public license", "affero general public license", "gnu agpl"), ("agpl",), {"1": "agpl-1", "3": "agpl-3"}, True),
+    "gfdl": (("gnu free documentation license", "gnu fdl"), ("gfdl",), {"1 1": "gfdl-1.1", "1 2": "gfdl-1.2", "1 3": "gfdl-1.3"}, True),
+    "mpl": (("mozilla public license",), ("mpl",), {"1": "mpl-1", "1 1": "mpl-1.1", "2": "mpl-2"}, False),
+    "apache": (("apache license", "apache software license"), (), {"1": "apache-1", "1 1": "apache-1.1", "2": "apache-2"}, False),
+    "epl": (("eclipse public license",), ("epl",), {"1": "epl-1", "2": "epl-2"}, False),
+    "cpl": (("common public license",), (), {"1": "cpl-1"}, False),
+    "cddl": (("common development and distribution license",), ("cddl",), {"1": "cddl-1", "1 1": "cddl-1.1"}, False),
+    "eupl": (("european union public licence", "european union public license"), ("eupl",), {"1 1": "eupl-1.1", "1 2": "eupl"}, False),
+    "artistic": (("artistic license",), (), {"1": "artistic-1", "2": "artistic-2"}, False),
+    "osl": (("open software license",), (), {"3": "osl-3"}, False),
+    "afl": (("academic free license",), (), {"3": "afl-3"}, False),
+    "boost": (("boost software license",), (), {"1": "boost"}, False),
+    "busl": (("business source license",), ("busl",), {"1 1": "busl"}, False),
+    "sspl": (("server side public license",), ("sspl",), {"1": "sspl"}, False),
+    "elastic": (("elastic license",), (), {"2": "elastic-2"}, False),
+    "odbl": (("open database license", "open data commons open database license"), ("odbl",), {"1": "odbl"}, False),
+    "ofl": (("sil open font license", "open font license"), ("ofl",), {"1": "ofl", "1 1": "ofl"}, False),
+}
+#: Creative Commons: label, and its parts after "cc" and after "creative commons".
+CREATIVE = (
+    ("cc-by", "by", "attribution"),
+    ("cc-by-sa", "by sa", "attribution share ?alike"),
+    ("cc-by-nd", "by nd", "attribution no ?deriv(?:ative)?s?(?: works)?"),
+    ("cc-by-nc", "by nc", "attribution non ?commercial"),
+    ("cc-by-nc-sa", "by nc sa", "attribution non ?commercial share ?alike"),
+    ("cc-by-nc-nd", "by nc nd", "attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?"),
+)
+LATER = "(?: or)?(?: at your option)?(?: any)? later(?: versions?)?"
 #: Priority (0 is best), weight, template around a name.
+UNDER = (
+    "(?:(?:(?:re)?licensed|released|(?:re)?distributed|available|published|provided|covered|offered|issued|shared|dedicated) (?:under|by) (?:the )?(?:terms(?: and conditions)? of )?"
+    "|under (?:the )?(?:terms(?: and conditions)?|conditions|provisions) of |(?:subject to|governed by) (?:the )?(?:(?:terms(?: and conditions)?|conditions|provisions) of )?)(?:the |an? )?"
+)
 TEMPLATES = (
     (0, 1.0, "spdx license identifier {0}"),
-    (1, 0.95, "(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?{0}(?: licen[sc]e)?"),
-    (2, 0.7, "(?:the )?{0} licen[sc]e"),
+    (1, 0.95, UNDER + "{0}(?: licen[sc]e)?"),
+    (2, 0.7, "(?:the )?{0} licen[sc]ed?"),
+    (2, 0.7, "licen[sc]es?(?: is| type| name)? (?:the )?{0}"),
+)
+#: Priority, weight of a name alone.
+ALONE = (3, 0.6)
+#: After "license", the German word: "unter der General Public License mit Ausnahme".
+GERMAN = "mit(?! (?:de[mnr]|die|das|eine[mnr]?|ein|alle[nrm]?|diese[nrm]?|folgende[nrm]?|ausnahmen?|zusatz|zusätzlich[a-z]*|und|oder|ohne|sich|[a-z]+klauseln?) )"
+PERMITS = "redistribution and use in source and binary forms with or without modification are permitted"
+#: Key sentences of licences: label, regex, keyword that must occur.
+BODIES = (
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this (?:software|font software)(?: and associated documentation files)?(?: the software)?(?! the font)", "permission is hereby granted free of charge"),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "permission is hereby granted free of charge"),
+    ("ofl", "permission is hereby granted free of charge to any person obtaining a copy of the font software", "permission is hereby granted free of charge"),
+    ("isc", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted provided", "permission to use copy modify"),
+    ("0bsd", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted(?! provided)", "permission to use copy modify"),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", "permission to use copy modify"),
+    ("hpnd", "permission to use copy modify and(?: or)? distribute this software and its documentation for any purpose (?:and )?without fee is hereby granted", "permission to use copy modify"),
+    ("bsd", PERMITS, "redistribution and use in source and binary forms"),
+    ("bsd-2", PERMITS + "(?: (?!advertising |acknowledge?ment |endorse )[^ ]+){0,120}? provided with the distribution(?: [^ ]+){0,3}? this software is provided", "redistribution and use in source and binary forms"),
+    ("bsd-3", PERMITS + "(?: (?!advertising |acknowledge?ment )[^ ]+){0,200}? used to endorse or promote products", "redistribution and use in source and binary forms"),
+    ("bsd-4", PERMITS + "(?: [^ ]+){0,160}? all advertising materials mentioning(?:(?: [^ ]+){0,80}? used to endorse or promote products)?", "redistribution and use in source and binary forms"),
+    ("apache-1.1", PERMITS + "(?: [^ ]+){0,160}? this product includes software developed by the apache (?:software foundation|group)(?:(?: [^ ]+){0,80}? used to endorse or promote products)?", "redistribution and use in source and binary forms"),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", "permission is granted to anyone to use this software"),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    ("wtfpl", "you just do what the fuck you want to", "do what the fuck you want to"),
+    ("apache-2", "(?:https? )?(?:www )?apache org licenses license 2 0", "apache org licenses license 2 0"),
+    ("mit", "opensource org licen[cs]es?(?: licen[cs]es?)? mit", "opensource org"),
+    ("cc0", "creativecommons org publicdomain zero 1 0", "creativecommons org publicdomain zero"),
+    ("cc0", "waived? all copyright and related or neighboring rights", "copyright and related or neighboring rights"),
+    *((label, f"creativecommons org licenses {short}(?: [1-4] [05])?", "creativecommons org licenses") for label, short, _ in CREATIVE),
+    ("gpl-3", "gnu general public license is a free copyleft license for software", "gnu general public license is a free copyleft license"),
+    ("gpl-2", "gnu general public license is intended to guarantee your freedom to share and change free software", "gnu general public license is intended to guarantee"),
+    ("agpl-3", "gnu affero general public license is a free copyleft license", "gnu affero general public license is a free copyleft license"),
+    ("mpl-2", "each individual or legal entity that creates contributes to the creation of or owns covered software", "owns covered software"),
+    ("epl", "the accompanying program is provided under the terms of this eclipse public license", "accompanying program is provided under the terms"),
+    ("artistic-1", "the intent of this document is to state the conditions under which a package may be copied", "state the conditions under which a package may be copied"),
+    ("ofl", "the goals of the open font license ofl are to stimulate worldwide development", "goals of the open font license"),
 )
 #: Rules that name no licence of the list.
 GENERAL = (
-    (3, 0.4, "all-rights-reserved", "all rights reserved", "rights reserved"),
-    (3, 0.3, "copyright", "copyright (?:c )?(?:19|20)[0-9]{2}", "copyright"),
-    (3, 0.3, "gpl", "gnu general public license", "gnu general"),
-    (3, 0.3, "public-domain", "(?:in|into|to) the public domain", "public domain"),
+    (4, 0.4, "all-rights-reserved", "all rights reserved", "rights reserved"),
+    (4, 0.3, "copyright", "copyright (?:c )?(?:19|20)[0-9]{2}", "copyright"),
+    (4, 0.3, "gpl", "gnu general public license", "gnu general"),
+    (4, 0.3, "gpl", "gpl", "gpl"),
+    (4, 0.3, "public-domain", "(?:in|into|to) the public domain", "public domain"),
 )
 
 
+def _versions(name: str, version: str, gnu: bool) -> str:
+    """The name with a version after it, before it, or in the notice of the Free Software Foundation."""
+    number = version if " " in version else f"{version}(?: 0)?(?! [0-9] )"
+    after = f"{name}(?:(?: version| ver| v)? v?|v){number}"
+    before = f"(?:version|v) ?{number} of (?:the )?{name}"
+    notice = f"|{name} as published by (?:the )?free software foundation (?:either )?(?:version|v) ?{number}(?: of the licen[sc]e)?" if gnu else ""
+    return f"(?:{after}|{before}{notice})(?: only)?"
+
+
+def _names() -> list[tuple[str, str, str, bool]]:
+    """Label, regex, keyword, and whether it stands alone."""
+    made = [(label, name, f" {name} ", name not in AMBIGUOUS) for label, names in NAMES.items() for name in names]
+    for family, (full, short, versions, later) in FAMILIES.items():
+        for name in full + short:
+            made.append((family, name, f" {name} ", name in full))
+            for version, label in versions.items():
+                core = _versions(name, version, later)
+                made.append((label, core, f" {name}", True))
+                if later:
+                    made.append((f"{label}-or-later", core + LATER, f" {name}", True))
+    for label, short, full in CREATIVE:
+        version = "(?: (?:version |v ?)?[1-4] [05])"
+        region = "(?: (?:international|unported|generic))?"
+        made.append((label, f"cc {short}{version}{'' if short == 'by' else '?'}{region}", f" cc {short} ", True))
+        made.append((label, f"cc {short}", f" cc {short} ", False))
+        made.append((label, f"creative commons {full}{version}?{region}", " creative commons attribution ", True))
+    return made
+
+
 def rules() -> list[dict]:
     """All rules, in order: priority, weight, label, regex over " word word ", keyword that must occur."""
-    made = [
-        {"priority": p, "weight": w, "label": label, "regex": " " + t.format(name) + "(?= )", "keyword": f" {name} "}
-        for p, w, t in TEMPLATES
-        for label, names in NAMES.items()
-        for name in names
-        if not (p == 2 and name.endswith("license"))
-    ]
-    made += [{"priority": 1, "weight": 0.9, "label": label, "regex": f" {phrase}(?= )", "keyword": f" {phrase} "} for phrase, label in BASE]
-    return sorted(made + [{"priority": p, "weight": w, "label": label, "regex": f" {r}(?= )", "keyword": k} for p, w, label, r, k in GENERAL], key=lambda r: (r["priority"], r["label"], r["regex"]))
+    made = []
+    for label, name, keyword, alone in _names():
+        for p, w, t in TEMPLATES:
+            made.append((p, w, label, t.format(GERMAN if name == "mit" and t.endswith("{0}") and p == 2 else name), keyword))
+        if alone:
+            made.append((*ALONE, label, name, keyword))
+    made += [(1, 0.9, label, phrase, f" {phrase} ") for phrase, label in BASE]
+    made += [(1, 0.9, label, regex, f" {keyword} ") for label, regex, keyword in BODIES]
+    made += [(p, w, label, r, f" {k} ") for p, w, label, r, k in GENERAL]
+    return [{"priority": p, "weight": w, "label": label, "regex": f" {r}(?= )", "keyword": k} for p, w, label, r, k in sorted(set(made), key=lambda x: (x[0], x[2], x[3], x[4]))]
+
+
+def by_keyword() -> list[dict]:
+    """The rules of each keyword, so that it is looked for once."""
+    found: dict[str, list[dict]] = {}
+    for r in rules():
+        found.setdefault(r["keyword"], []).append({k: v for k, v in r.items() if k != "keyword"})
+    return [{"keyword": k, "rules": v} for k, v in found.items()]
 
 
-#: One of these occurs in the lower-cased text wherever a rule's keyword or a base phrase does.
-GATES = ("licen", "cc", "copyright", "rights", "public", "spdx", "released", "distributed", "available", "published")
+#: One of these occurs in the lower-cased text wherever a rule or a base phrase matches.
+GATES = (
+    "licen", "cc", "copyright", "rights", "public", "spdx", "released", "distributed", "available", "published", "permission", "redistribution", "provided", "covered", "governed",
+    "subject", "offered", "issued", "shared", "dedicated", "terms", "conditions", "provisions", "gpl", "bsd", "fdl", "clause", "commons", "wtfpl", "fuck", "cddl", "eupl", "sspl", "odbl", "neighboring", "apache",
+)
+#: Short names that other words contain: at the start of a word only.
+SHORT_GATES = r"(?<![0-9a-z])(?:mpl|epl|ofl|busl)(?=v?[0-9]|[^0-9a-z])"
 
 
 def _n_words(piece: Column) -> Column:
@@ -115,6 +240,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     gate = F.lit(False)
     for g in GATES:
         gate = gate | F.contains("low", F.lit(g))
+    gate = gate | F.col("low").rlike(SHORT_GATES)
     trimmed = F.trim(F.regexp_replace(F.translate("text", UPPER, LOWER), BREAKS, " "))
     rows = rows.select("doc_id", F.regexp_count("text", F.lit(WORDS)).cast("long").alias("n_words"), F.when(gate, F.concat(F.lit(" "), trimmed, F.lit(" "))).alias("norm"))
     # base places: pieces between the phrases give the word at which each place starts
@@ -130,8 +256,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         base.append(F.when(there, F.lit(label)))
     found = F.filter(F.array(*base), lambda x: x.isNotNull())
     # one literal: the optimizer reads it once
-    ordered = F.from_json(F.lit(json.dumps(rules())), "array<struct<priority:int,weight:double,label:string,regex:string,keyword:string>>")
-    tried = F.when(F.col("norm").isNotNull(), F.filter(ordered, lambda r: F.contains(F.col("norm"), r["keyword"])))
+    ordered = F.from_json(F.lit(json.dumps(by_keyword())), "array<struct<keyword:string,rules:array<struct<priority:int,weight:double,label:string,regex:string>>>>")
+    tried = F.when(F.col("norm").isNotNull(), F.flatten(F.transform(F.filter(ordered, lambda g: F.contains(F.col("norm"), g["keyword"])), lambda g: g["rules"])))
     rows = rows.withColumn("rules", tried).withColumn("base", found)
     rows = rows.withColumn("n_base", places.cast("long")).withColumn("first_word", F.least(*firsts).cast("long")).withColumn("last_word", F.greatest(*lasts).cast("long"))
     # each match of a rule: the words before it, and its own
@@ -144,7 +270,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = rows.withColumn("all", F.when(F.size("rules") > 0, F.array_sort(F.expr(per_rule))))
     # containment: the furthest end so far by priority; sorting puts containers before what they contain
     kept = """
-    aggregate(`all`, named_struct('e', array(0, 0, 0, 0), 'k', cast(array() as array<string>), 'w', 0D),
+    aggregate(`all`, named_struct('e', array(0, 0, 0, 0, 0), 'k', cast(array() as array<string>), 'w', 0D),
      (acc, x) -> CASE WHEN array_max(slice(acc.e, 1, x.priority + 1)) >= -x.neg THEN acc ELSE named_struct(
        'e', transform(acc.e, (e, i) -> IF(i = x.priority, greatest(e, -x.neg), e)),
        'k', array_union(acc.k, array(x.label)), 'w', greatest(acc.w, x.weight)) END)"""

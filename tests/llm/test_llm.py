@@ -201,6 +201,73 @@ def test_licenses(spark, documents, odd):
     assert license_scan.scan(odd).count() == len(ODD)
 
 
+LICENSES = {
+    "License: Apache License 2.0": "apache-2",
+    "License: GPLv3": "gpl-3",
+    "License: MIT": "mit",
+    '"license": "ISC"': "isc",
+    "Microsoft Public License": "ms-pl",
+    "It carries the SIL Open Font License.": "ofl",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "mpl-2",
+    "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.": "gpl-3-or-later",
+    "under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License.": "gpl-2",
+    "under the GNU Lesser General Public License version 2.1 or later": "lgpl-2.1-or-later",
+    "SPDX-License-Identifier: GPL-2.0-only": "gpl-2",
+    "SPDX-License-Identifier: AGPL-3.0-or-later": "agpl-3-or-later",
+    "governed by version 2 of the GNU General Public License": "gpl-2",
+    "Governed by the Eclipse Public License - v 2.0": "epl-2",
+    "MPL-2.0": "mpl-2",
+    "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International": "cc-by-nc-sa",
+    "https://creativecommons.org/licenses/by-sa/4.0/": "cc-by-sa",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files": "mit",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that": "isc",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE": "0bsd",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that": "bsd",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the conditions are met: 1. x 2. y provided with the distribution. THIS SOFTWARE IS PROVIDED": "bsd-2",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that: y provided with the distribution. 3. Neither the name may be used to endorse or promote products": "bsd-3",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that: 3. All advertising materials mentioning features 4. Neither the name may be used to endorse or promote products": "bsd-4",
+    "Das steht unter der License mit der Ausnahme, dass es mit Wasser geht.": "",
+    "we met at the zlib, openssl and python 2.0 booth; an MPL example": "",
+}
+
+
+def _shortest(parsed):
+    """The shortest text of a parsed regex."""
+    out = ""
+    for op, arg in parsed:
+        match str(op):
+            case "LITERAL":
+                out += chr(arg)
+            case "IN":
+                out += "a" if str(arg[0][0]) == "NEGATE" else chr(arg[0][1] if str(arg[0][0]) == "LITERAL" else arg[0][1][0])
+            case "NOT_LITERAL":
+                out += "a"
+            case "MAX_REPEAT" | "MIN_REPEAT":
+                out += _shortest(arg[2]) * arg[0]
+            case "SUBPATTERN":
+                out += _shortest(arg[3])
+            case "BRANCH":
+                out += min((_shortest(x) for x in arg[1]), key=len)
+            case "ASSERT" | "ASSERT_NOT":
+                pass
+            case _:
+                raise ValueError(op)
+    return out
+
+
+def test_license_signatures(spark):
+    docs = spark.createDataFrame(list(enumerate(LICENSES)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in license_scan.scan(docs).collect()}
+    assert {t: got[i] for i, t in enumerate(LICENSES)} == LICENSES
+
+
+def test_license_gates_and_keywords():
+    for r in license_scan.rules():
+        text = _shortest(re._parser.parse(r["regex"]))
+        assert re.search(r["regex"], text + " ") and r["keyword"] in text + " "
+        assert any(g in text for g in license_scan.GATES) or re.search(license_scan.SHORT_GATES, text + " "), r
+
+
 def test_word_ids_equal_the_tokenizer(documents):
     ids = WordIds(public_tokenizers.path("word_bpe_49k.json"))
     texts = [*documents.text[:60], "ΣΑΣ <|endoftext|> \x1c x y don't 世界 é", ""]
