@@ -173,6 +173,53 @@ def test_guess_cost_is_least(value):
     assert 0 <= cost <= sum(math.log10({"1": 10, "!": 33}.get(c, 26)) for c in value) + 1e-9
 
 
+PROSE = (
+    "The secret is patience", "The token is generated by the server", "Compass: northwest", "Kompass: Nordwesten", "spin: clockwise", "The password is incorrect.",
+    "password: obligatoire", "token: abgelaufen", "pin: erforderlich", "token is obligatorio", "secret is contraseña",
+)
+
+
+def test_prose_is_no_secret(spark):
+    docs = spark.createDataFrame(list(enumerate(PROSE)), "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in secret_scan.redact(docs).collect()} == dict(enumerate(PROSE))
+    for text in ("dbPassword: Xq93kfpLw2", "accesstoken=Xq93kfpLw2", "DB_PASS=Xq93kfpLw2", "the pin is Xq93kfpLw2", "password is correcthorsebatterystaple"):
+        assert [k for _, _, k in secret_scan.spans(text)[1]] == ["guess"], text
+
+
+def _cost_by_all_runs(value, words):
+    """The same costs with every sub-run offered."""
+    n, low, rank = len(value), value.lower(), secret_scan.ranked(words)[0]
+    plain, join = low.translate(secret_scan.LEET), secret_scan.JOIN
+
+    def walk(x):
+        step = 0
+        for a, b in zip(x, x[1:]):
+            d = ord(b) - ord(a)
+            if not (secret_scan._adjacent(a, b) or (a.isalnum() and b.isalnum() and abs(d) == 1 and step in (0, d))):
+                return False
+            step = d if abs(d) == 1 else step
+        return len(x) >= 3
+
+    best = [0.0] + [math.inf] * n
+    for j in range(1, n + 1):
+        for i in range(j):
+            x, costs = low[i:j], [sum(math.log10(10 if c.isdigit() else 26 if c.isalpha() else 33) for c in value[i:j])]
+            if plain[i:j] in rank and j - i >= 2:
+                costs.append(rank[plain[i:j]] + 0.3 * (value[i:j] != x) + 0.5 * (plain[i:j] != x))
+            costs += [k * math.log10(36) + math.log10((j - i) / k) for k in (1, 2, 3, 4) if j - i >= max(3, 2 * k) and x[k:] == x[:-k]]
+            costs += [math.log10(40) + 0.35 * (j - i)] if walk(x) else []
+            costs += [secret_scan.SEPARATOR] if x in secret_scan.SEPARATORS and 0 < i < n - 1 else []
+            best[j] = min(best[j], best[i] + join * (i > 0) + min(costs))
+    return best[n]
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.text(st.sampled_from("abcgreqwn12-A"), min_size=1, max_size=14))
+def test_guess_cost_offers_every_run(value):
+    words = ("green", "grab", "ab", "cab")
+    assert math.isclose(secret_scan.guess_cost(value, words), _cost_by_all_runs(value, words))
+
+
 def test_topk_brute(spark):
     r = random.Random(3)
     rows = [(i, [float(r.randint(-3, 3)) for _ in range(6)]) for i in range(300)] + [(300, None), (301, [1.0, None]), (302, [float("nan")] * 6), (350, [0.0] * 6)]
