@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Words by ASCII white space.
@@ -74,6 +76,17 @@ def by_slices(fn: Callable[[dict[str, list]], dict[str, list] | pa.RecordBatch],
     return run
 
 
+def slices(batches: Iterator[pa.RecordBatch], text: str, size: int, rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of at most ``rows`` rows and, but for a single long text, ``size`` bytes in the column ``text``."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at, done = 0, 0
+        while at < batch.num_rows:
+            n = max(1, min(rows, int(np.searchsorted(ends, done + size, side="right")) - at))
+            yield batch.slice(at, n)
+            done, at = int(ends[at + n - 1]), at + n
+
+
 def signed(x: int) -> int:
     """An unsigned 64-bit number as Spark's long."""
     return x - (1 << 64) if x >> 63 else x

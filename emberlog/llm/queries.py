@@ -56,7 +56,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_read(spark, sf_dir, "documents"))
+    return packing.pack(_read(spark, sf_dir, "documents")).drop("ids")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

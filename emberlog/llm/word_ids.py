@@ -1,24 +1,31 @@
 """Ids of the word BPE, as its own tokenizer gives them, at a multiple of its speed.
 
 The tokenizer lower-cases, cuts at white space and between letters, single digits and other signs, and joins bytes up to
-a word end, so ids depend on one blank-separated word at a time. Words are remembered; the others go through the same
-vocabulary as byte ranks, where a NUL byte stands for the word end. That equals the tokenizer for ordinary Latin, Greek
-and Cyrillic words; words with anything else, or with the text of a special token, go to the tokenizer itself.
+a word end, so ids depend on one blank-separated word at a time. The distinct words of a slice of texts are encoded
+together: as one string with a mark after each word, which is lower-cased, cut and encoded once, by the same vocabulary
+as byte ranks, where a NUL byte stands for the word end. Their ids are then taken for every word of the texts. That
+equals the tokenizer for ordinary Latin, Greek and Cyrillic words; words with anything else, or with the text of a
+special token, go to the tokenizer itself. Nothing is remembered from one slice to the next.
 """
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 
 import numpy as np
-import regex
+import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from tokenizers import Tokenizer
 
-#: Most words remembered in a Python worker (about 150 bytes each).
-REMEMBERED = 400_000
-#: The tokenizer's own cut, a fixed value.
-CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Stands after each word that is learned; words that hold it themselves are odd.
+MARK = "\x01"
+#: The tokenizer's own cut, for words that are not odd, and the mark.
+CUT = rf"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w{MARK}]|_)+|{MARK}"
+#: Control characters, the capital sigma (its lower case depends on its place), combining marks, signs that are numbers
+#: but no digits, and scripts beyond Cyrillic.
+ODD = "[\x00-\x1f\x7f-\xa0\xb2\xb3\xb9\xbc-\xbe\u03a3\u0300-\u036f\u0483-\u0489\u0530-\U0010ffff]"
 END = "</w>"
 
 
@@ -35,7 +42,6 @@ class WordIds:
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
         vocab, merges = data["model"]["vocab"], data["model"]["merges"]
-        self.special = tuple(x["content"].encode() for x in data["added_tokens"])
         symbols = _byte_symbols()
 
         def plain(token: str) -> bytes:
@@ -52,47 +58,32 @@ class WordIds:
                 ids.append(vocab[t])
         self.encoding = tiktoken.Encoding("words", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
         self.ids = np.array(ids, "<u4")
-        self.ends = np.zeros(len(ids), bool)
-        for b, r in ranks.items():
-            self.ends[r] = len(b) > 1 and b.endswith(b"\0")
-        self.cut = regex.compile(CUT)
-        self.odd = regex.compile("[\\x00-\\x1f\\x7f-\\xa0Σ̀-ͯ԰-\U0010ffff]")
-        self.known: dict[bytes, bytes] = {}
+        self.mark = ranks[MARK.encode() + b"\0"]
+        self.cut = re.compile(CUT)
+        self.odd = "|".join([ODD, *(re.escape(x["content"]) for x in data["added_tokens"])])
 
-    def _slow(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+    def _ids_of(self, words: pa.StringArray) -> pa.ListArray:
+        """A list of ids for each word."""
+        odd = pc.match_substring_regex(words, self.odd).to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(odd), "", words) if odd.any() else words
+        text = pc.binary_join(pa.ListArray.from_arrays([0, len(plain)], plain), MARK)[0].as_py() + MARK
+        ranks = self.encoding.encode_to_numpy("\0".join(self.cut.findall(unicodedata.normalize("NFC", text).lower())) + "\0")
+        marks = ranks == self.mark
+        ids, stops = self.ids[ranks[~marks]], np.cumsum(~marks)[marks]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stops]), pa.int32()), pa.array(ids))
+        if not odd.any():
+            return lists
+        own = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in words.filter(pa.array(odd)).to_pylist()]
+        place = np.where(odd, len(words) - 1 + np.cumsum(odd), np.arange(len(words)))
+        return pa.concat_arrays([lists, pa.array(own, lists.type)]).take(pa.array(place))
 
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of distinct words."""
-        found, fast, cuts, sizes = {}, [], [], []
-        for w in words:
-            text = w.decode()
-            if self.odd.search(text) or any(s in w for s in self.special):
-                found[w] = self._slow(text)
-                continue
-            own = self.cut.findall(unicodedata.normalize("NFC", text).lower())
-            fast.append(w)
-            cuts += own
-            sizes.append(len(own))
-        if fast:
-            ranks = self.encoding.encode_to_numpy("\0".join(cuts) + "\0") if cuts else np.zeros(0, np.int64)
-            stops = np.concatenate([[0], np.flatnonzero(self.ends[ranks]) + 1]) * 4
-            data = self.ids[ranks].tobytes()
-            at = 0
-            for w, n in zip(fast, sizes):
-                found[w] = data[stops[at] : stops[at + n]]
-                at += n
-        return found
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.StringArray | list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [t.encode().split() for t in texts]
-        known = self.known
-        new = {w for words in split for w in words if w not in known}
-        if new:
-            learned = self._learn(list(new))
-            if len(known) + len(learned) <= REMEMBERED:
-                known.update(learned)
-            else:
-                known = {w: known[w] for words in split for w in words if w in known} | learned
-        return [b"".join([known[w] for w in words]) for words in split]
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        words = pc.ascii_split_whitespace(texts)
+        coded = words.flatten().dictionary_encode()
+        if not len(coded):
+            return [b""] * len(texts)
+        ids = self._ids_of(coded.dictionary).take(coded.indices)
+        data, stops = ids.flatten().to_numpy().tobytes(), (4 * ids.offsets.to_numpy()[words.offsets.to_numpy()]).tolist()
+        return [data[a:b] for a, b in zip(stops, stops[1:])]
