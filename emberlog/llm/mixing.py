@@ -4,15 +4,15 @@ Targets: sources in code point order (null last) weigh ``weights`` in turn and s
 gets more than ``cap`` times its own size, and the excess is shared again by weight until none is above. That is
 min(cap * size, level * weight) with one level, found from running sums over the sources in order of cap * size / weight.
 
-A document is to be taken target / source size times: its whole part surely, its fraction by rounding. Large documents
-(above a 512th of their source, so at most 512 a source) come first, in order of size: each is paired with all that is
-left of its source, becomes integral with the probability that keeps its expectation, and the mass moved changes what
-is left for the others. The others are paired with each other: mass (size times fraction) moves between the two, one way or
-the other with the probabilities that keep each one's expectation, until one is integral; the sum over the source stays
-as it is. Blocks of about ``block`` documents are folded so, which leaves at most one fraction each; these residuals form
-the next level's blocks, down to one residual per source, which is rounded to the nearer integer and so moves the source
-by less than a thousandth. A hot source only has more blocks. Randomness is a hash of the documents' keys, so reruns
-agree.
+A document is to be taken x = target / source size times, which is rounded. Blocks of about ``block`` documents of a
+source are folded: each document, the largest first, is paired with the pool of those that come after it in the block.
+Mass (size times x) moves between the two, one way or the other with the probabilities that keep each one's expectation,
+until the document's x is integral, or the pool is at an end: all of its documents are taken 0 or ``cap`` times. What a
+pool gains or loses is shared by its documents in proportion to the room that they have. The mass of a block stays as it
+is. A block leaves at most one fraction, as a rule of its smallest document; these residuals form the next level's
+blocks, down to one residual per source, which is rounded to the nearer integer. So a source misses its target by at
+most half of one document, and hardly at all where its smallest documents are small, however large the others are. A hot
+source only has more blocks. Randomness is a hash of the documents' keys, so reruns agree.
 
 Defined results: null and empty texts have size 0 and are taken 0 times; repeated rows are numbered and rounded each for
 itself; null ids and sources are values like others; an empty table gives an empty one.
@@ -24,36 +24,30 @@ from pyspark.sql import functions as F
 
 from .common import WORD, spool
 
-ITEM = "struct<o:bigint,h:bigint,id:bigint,r:bigint,s:bigint,w:bigint,p:double>"
-
-#: One pairing step of the fold. acc.c: the carried fraction, acc.d: settled documents.
-STEP = f"""
-aggregate(items, named_struct('c', cast(null as {ITEM}), 'd', cast(array() as array<{ITEM}>)), (acc, x) ->
- CASE WHEN acc.c IS NULL THEN named_struct('c', x, 'd', acc.d) ELSE
-  transform(
-   transform(
-    array(named_struct(
-     'a', least((1D - acc.c.p) * acc.c.s, x.p * x.s), 'b', least(acc.c.p * acc.c.s, (1D - x.p) * x.s),
-     'u', pmod(xxhash64(acc.c.id, acc.c.r, acc.c.s, x.id, x.r, x.s, seed), 9007199254740992L) / 9007199254740992D)),
-    t -> CASE WHEN t.u * (t.a + t.b) < t.b
-     THEN named_struct('cp', IF(t.a = (1D - acc.c.p) * acc.c.s, 1D, acc.c.p + t.a / acc.c.s), 'xp', IF(t.a = x.p * x.s, 0D, x.p - t.a / x.s))
-     ELSE named_struct('cp', IF(t.b = acc.c.p * acc.c.s, 0D, acc.c.p - t.b / acc.c.s), 'xp', IF(t.b = (1D - x.p) * x.s, 1D, x.p + t.b / x.s)) END),
-   y -> named_struct(
-    'c', CASE WHEN y.cp > 1e-12D AND y.cp < 1D - 1e-12D THEN named_struct('o', acc.c.o, 'h', acc.c.h, 'id', acc.c.id, 'r', acc.c.r, 's', acc.c.s, 'w', acc.c.w, 'p', y.cp)
-              WHEN y.xp > 1e-12D AND y.xp < 1D - 1e-12D THEN named_struct('o', x.o, 'h', x.h, 'id', x.id, 'r', x.r, 's', x.s, 'w', x.w, 'p', y.xp) END,
-    'd', concat(acc.d, filter(array(
-      named_struct('o', acc.c.o, 'h', acc.c.h, 'id', acc.c.id, 'r', acc.c.r, 's', acc.c.s, 'w', acc.c.w, 'p', y.cp),
-      named_struct('o', x.o, 'h', x.h, 'id', x.id, 'r', x.r, 's', x.s, 'w', x.w, 'p', y.xp)), z -> z.p <= 1e-12D OR z.p >= 1D - 1e-12D))))[0] END)
-"""
-
-
-#: Large documents in order: left is what the source still has to give, mass the size of the documents still to come.
-LARGE = """
-aggregate(items, named_struct('left', target, 'mass', cast(source_size as double), 'd', cast(array() as array<struct<id:bigint,r:bigint,s:bigint,t:bigint>>)), (acc, x) ->
- transform(transform(array(least(cast(cap as double), greatest(0D, acc.left / acc.mass))), v ->
-   cast(floor(v) + IF(acc.mass <= x.s, IF(v - floor(v) >= 0.5D, 1, 0), IF(pmod(xxhash64(x.h, seed), 9007199254740992L) / 9007199254740992D < v - floor(v), 1, 0)) as bigint)),
-  t -> named_struct('left', acc.left - t * x.s, 'mass', acc.mass - x.s, 'd', concat(acc.d, array(named_struct('id', x.id, 'r', x.r, 's', x.s, 't', t)))))[0])
+ITEM = "struct<o:bigint,h:bigint,id:bigint,r:bigint,s:bigint,x:double>"
+
+#: This near to an integer is integral.
+EDGE = 1e-9
+
+#: The fold of a block: ``items`` (ITEM, the largest first), with x after it. A document's x in the pool is a * x + b by
+#: now; sz and ms are the size and the first mass of the pool, m is its mass by now. The pool gives the document ``up``,
+#: or gets ``down`` from it.
+FOLD = f"""
+aggregate(items, aggregate(items, named_struct('a', 1D, 'b', 0D, 'sz', 0L, 'ms', 0D, 'd', cast(array() as array<{ITEM}>)), (z, x) -> named_struct('a', 1D, 'b', 0D, 'sz', z.sz + x.s, 'ms', z.ms + x.x * x.s, 'd', z.d)), (acc, x) ->
+ transform(transform(transform(
+  array(named_struct('x', least(cast(cap as double), greatest(0D, acc.a * x.x + acc.b)), 'sz', acc.sz - x.s, 'ms', acc.ms - x.x * x.s)),
+  t -> named_struct('x', t.x, 'w', floor(t.x + {EDGE}D), 'sz', t.sz, 'ms', t.ms, 'm', least(cast(cap * t.sz as double), greatest(0D, acc.a * t.ms + acc.b * t.sz)))),
+  t -> named_struct('x', t.x, 'w', t.w, 'sz', t.sz, 'ms', t.ms, 'm', t.m, 'room', cap * t.sz - t.m, 'up', least((t.w + 1 - t.x) * x.s, t.m), 'down', least((t.x - t.w) * x.s, cap * t.sz - t.m),
+   'u', pmod(xxhash64(x.h, x.id, x.r, x.s, seed), 9007199254740992L) / 9007199254740992D)),
+  t -> CASE
+   WHEN t.x - t.w <= {EDGE}D OR t.up + t.down <= 0D THEN named_struct('a', acc.a, 'b', acc.b, 'sz', t.sz, 'ms', t.ms, 'd', concat(acc.d, array(named_struct('o', x.o, 'h', x.h, 'id', x.id, 'r', x.r, 's', x.s, 'x', t.x))))
+   WHEN t.u * (t.up + t.down) < t.down THEN named_struct('a', acc.a * (1D - t.up / t.m), 'b', acc.b * (1D - t.up / t.m), 'sz', t.sz, 'ms', t.ms,
+    'd', concat(acc.d, array(named_struct('o', x.o, 'h', x.h, 'id', x.id, 'r', x.r, 's', x.s, 'x', IF(t.up < t.m, t.w + 1D, t.x + t.up / x.s)))))
+   ELSE named_struct('a', acc.a * (1D - t.down / t.room), 'b', IF(t.down < t.room, acc.b + t.down / t.room * (cap - acc.b), cast(cap as double)), 'sz', t.sz, 'ms', t.ms,
+    'd', concat(acc.d, array(named_struct('o', x.o, 'h', x.h, 'id', x.id, 'r', x.r, 's', x.s, 'x', IF(t.down < t.room, cast(t.w as double), t.x - t.down / x.s))))) END)[0],
+ acc -> acc.d)
 """
+SETTLED = f"abs(item.x - round(item.x)) <= {EDGE}D"
 
 
 def word_count(text: Column) -> Column:
@@ -84,33 +78,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     most = goals.agg(F.max("n")).first()[0] or 0
     each = units.withColumn("r", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies")
     each = each.join(goals, each["src"].eqNullSafe(goals["src"])).drop(goals["src"])
-    each = spool(each.withColumn("h", F.xxhash64("id", "size", "r", F.lit(seed))))
-    large = F.col("size") * 512 > F.col("source_size")
-    item = F.struct((-F.col("size")).alias("o"), "h", "id", "r", F.col("size").alias("s"))
-    first = each.filter(large).groupBy("src", "source_size", "target").agg(F.array_sort(F.collect_list(item)).alias("items")).withColumns({"seed": F.lit(seed), "cap": F.lit(cap)})
-    first = spool(first.select("src", F.expr(LARGE).alias("f")))
-    left = first.select(F.col("src").alias("l_src"), F.col("f.left").alias("left"), F.col("f.mass").alias("mass"))
-    rest = each.filter(~large & (F.col("size") > 0)).join(left, F.col("src").eqNullSafe(F.col("l_src")), "left")
-    x = F.least(F.lit(float(cap)), F.greatest(F.lit(0.0), F.coalesce("left", "target") / F.coalesce("mass", F.col("source_size").cast("double"))))
+    # nothing of a document without words can be taken
+    x = F.when(F.col("size") > 0, F.least(F.lit(float(cap)), F.col("target") / F.col("source_size"))).otherwise(0.0)
+    item = F.struct((-F.col("size")).alias("o"), F.xxhash64("id", "src", "size", "r", F.lit(seed)).alias("h"), "id", "r", F.col("size").alias("s"), "x")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block))
-    rest = spool(rest.withColumn("x", x).select("src", "n", F.pmod("h", blocks).alias("blk"), F.struct((-F.col("size")).alias("o"), "h", "id", "r", F.col("size").alias("s"), F.floor("x").alias("w"), (F.col("x") - F.floor("x")).alias("p")).alias("item")))
-    level, n = rest.filter("item.p > 0").select("src", "blk", "item"), most
-    done = [rest.filter("item.p = 0").select("src", "item")]
+    first = spool(each.withColumn("x", x).select("src", F.pmod(item["h"], blocks).alias("blk"), item.alias("item")).withColumn("settled", F.expr(SETTLED)))
+    done, over, n, depth = [first.filter("settled")], first.filter("NOT settled").drop("settled"), most, 0
     while True:
-        folded = level.groupBy("src", "blk").agg(F.array_sort(F.collect_list("item")).alias("items")).withColumn("seed", F.lit(seed))
-        folded = spool(folded.select("src", "blk", F.expr(STEP).alias("f")))
-        done.append(folded.select("src", F.explode("f.d").alias("item")))
-        over = folded.filter("f.c IS NOT NULL").select("src", "blk", F.col("f.c").alias("item"))
-        n = -(-n // block)
+        folded = over.groupBy("src", "blk").agg(F.array_sort(F.collect_list("item")).alias("items")).withColumns({"seed": F.lit(seed + depth), "cap": F.lit(cap)})
+        folded = spool(folded.select("src", "blk", F.explode(F.expr(FOLD)).alias("item")).withColumn("settled", F.expr(SETTLED)))
+        done.append(folded.filter("settled"))
+        over = folded.filter("NOT settled").drop("settled")
+        n, depth = -(-n // block), depth + 1
         if n <= 1:
             break
-        level = over.withColumn("blk", F.floor(F.col("blk") / block))
+        over = over.withColumn("blk", F.floor(F.col("blk") / block))
     found = over.select("src", "item")
     for d in done:
-        found = found.union(d)
-    found = found.select("src", "item.id", "item.r", F.col("item.s").alias("size"), (F.col("item.w") + F.round("item.p").cast("long")).alias("times"))
-    found = found.union(first.select("src", F.explode("f.d").alias("d")).select("src", "d.id", "d.r", "d.s", "d.t"))
-    found = found.union(each.filter("size = 0").select("src", "id", "r", "size", F.lit(0).cast("long")))
+        found = found.union(d.select("src", "item"))
+    found = found.select("src", "item.id", "item.r", F.col("item.s").alias("size"), F.round("item.x").cast("long").alias("times"))
     sums = goals.select(F.col("src").alias("g_src"), "source_size", "target")
     return found.join(sums, F.col("src").eqNullSafe(F.col("g_src"))).select("id", "src", "size", "r", "source_size", "target", "times")
 
