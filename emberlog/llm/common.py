@@ -3,7 +3,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,22 +11,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import shared_dir
+
 #: Words by ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-_own: list[str] = []
 #: The operator at work in this Python worker, and what lets go of what it remembers.
 _at_work: list = [None, lambda: None]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests on one machine), one of our own."""
-    if found := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
-        return found
-    if not _own:
-        _own.append("file://" + tempfile.mkdtemp(prefix="emberlog-"))
-    return _own[0]
-
-
 def spool(df: DataFrame) -> DataFrame:
     """df, written to the shared folder as Parquet and read back: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession

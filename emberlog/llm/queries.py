@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, jaccard_join, license_scan, mixing, packing, quality_rules, secret_scan, token_counts, topk_search, toxicity
+from .common import spool
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,7 +20,9 @@ EDITS = """array(
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_edited(_read(spark, sf_dir, "documents"), EDITS, trees=False)
+    trees = spool(token_counts.plant(_read(spark, sf_dir, "documents")))
+    found = token_counts.edit(trees, EDITS)
+    return found.select(F.col("id").alias("doc_id"), F.col("n_tokens_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"), "n_edits", "encoded_chars", "tree_chars", "tree_tokens")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +35,8 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    return chat_format.read_back(*chat_format.prefix_forest(turns))
+    segments, _, paths = chat_format.forest(turns)
+    return chat_format.read_back(segments, paths)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +45,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.scan(_read(spark, sf_dir, "documents"))
+    found = secret_scan.scan(_read(spark, sf_dir, "documents"))
+    text = lambda x: F.concat_ws(":", x["kind"], x["start"], x["stop"])
+    base = F.filter("spans", lambda x: x["kind"].isin(*secret_scan.KINDS[:3]))
+    counts = [F.size(F.array_remove(F.transform("spans", lambda x: x["kind"] == kind), F.lit(False))).cast("long").alias(f"n_{kind}") for kind in secret_scan.KINDS[:3]]
+    return found.select("doc_id", *counts, F.sha2(F.array_join(F.transform(base, text), ","), 256).alias("base_sha256"), F.array_join(F.transform("spans", text), ",").alias("spans"))
 
 
 def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +60,7 @@ def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(_read(spark, sf_dir, "documents"))
+    return license_scan.scan(_read(spark, sf_dir, "documents")).drop("detections")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,12 +89,12 @@ w AS (SELECT rid, regexp_extract_all(t, '{W}') AS w FROM d),
 g AS (SELECT rid, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM w, unnest(generate_series(1, len(w) - 2)) u(i)),
 twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM g) WHERE n > 1),
 rep AS (SELECT rid, count(DISTINCT i + k) AS n FROM twice, unnest([0, 1, 2]) u(k) GROUP BY rid),
-l AS (SELECT rid, source, t, pos, line, len(regexp_extract_all(line, '{W}')) AS nw,
+l AS (SELECT rid, doc_id, source, pos, line, len(regexp_extract_all(line, '{W}')) AS nw,
   translate(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
-  FROM (SELECT rid, source, t, string_split(t, chr(10)) AS ls FROM d), unnest(ls) WITH ORDINALITY u(line, pos)),
+  FROM (SELECT rid, doc_id, source, string_split(t, chr(10)) AS ls FROM d), unnest(ls) WITH ORDINALITY u(line, pos)),
 r AS (SELECT * FROM l WHERE nw > 0),
 dup AS (SELECT rid, sum(CASE WHEN k > 1 THEN 1 ELSE 0 END) AS n FROM (SELECT rid, row_number() OVER (PARTITION BY rid, line ORDER BY pos) AS k FROM r) GROUP BY rid),
-above AS (SELECT source, norm FROM r GROUP BY source, norm HAVING count(DISTINCT t) > 20),
+above AS (SELECT source, norm FROM r GROUP BY source, norm HAVING count(DISTINCT coalesce('d' || doc_id, 'r' || rid)) > 20),
 lost AS (SELECT rid, sum(nw) AS n FROM r JOIN above a ON r.source IS NOT DISTINCT FROM a.source AND r.norm = a.norm GROUP BY rid),
 f AS (SELECT doc_id, CAST(len(w.w) AS BIGINT) AS n_words,
   CAST(coalesce(list_sum(list_transform(w.w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
@@ -109,9 +117,9 @@ FROM e GROUP BY conv_id""",
     "op6_topk_search": r"""
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-p AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(generate_series(1, len(q.v)), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 5""",
+p AS (SELECT q.vec_id AS query_id, q.v AS v, c.vec_id AS vec_id, CAST(list_sum(list_transform(generate_series(1, len(q.v)), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM (SELECT DISTINCT * FROM v WHERE vec_id % 50 = 0) q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, v ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 5""",
     "op10_jaccard_join": rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{W}') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN w ELSE w[i:i + 2] END AS g FROM d, unnest(generate_series(1, greatest(1, len(w) - 2))) u(i) WHERE len(w) > 0),

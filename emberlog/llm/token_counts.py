@@ -7,8 +7,13 @@ until a cut falls on an old leaf's start again, and encodes only that stretch. T
 leaf, the other touched leaves become empty, and only sums on the paths above them are recomputed. A leaf that has
 grown beyond ``4 * LEAF`` pre-tokens makes the tree be laid out anew, which those insertions have paid for.
 
+``plant`` gives every document its tree, as arrays of its leaves; ``edit`` takes that table and edits, makes each tree
+from its stored leaves without encoding anything, and gives back a table of the same form, for the next edits.
+
 Defined results: null or empty texts have 0 tokens; an edit with a null or negative position, or one past the end,
-is moved into the text; null lengths and insertions count as 0 and "". Repeated rows are counted each for itself.
+is moved into the text; null lengths and insertions count as 0 and ""; null edits and null arrays of edits change
+nothing. Repeated rows are counted each for itself, null ids stay null, an empty table gives an empty one, and other
+columns of the documents are there for the expression of the edits only.
 """
 from __future__ import annotations
 
@@ -53,25 +58,35 @@ def counter(path: str) -> Counter:
 
 
 class TokenTree:
-    """The tree of one text. ``chars`` and ``tokens`` are heaps: node i has the children 2i and 2i + 1."""
+    """The tree of one text. ``chars`` and ``tokens`` are heaps: node i has the children 2i and 2i + 1.
+
+    leaves: code points and tokens of each, as ``leaves`` has given them for this text; nothing is encoded then.
+    """
 
-    def __init__(self, text: str, count: Counter):
-        self.count, self.encoded = count, 0
-        self._lay_out(text)
+    def __init__(self, text: str, count: Counter, leaves: tuple[list[int], list[int]] | None = None):
+        self.count, self.text, self.encoded = count, text, 0
+        if leaves is None:
+            self._lay_out(text)
+        else:
+            self._grow(*leaves)
+
+    def _grow(self, chars: list[int], tokens: list[int]) -> None:
+        self.size = 1 << max(0, len(chars) - 1).bit_length()
+        pad = [0] * (self.size - len(chars))
+        self.chars, self.tokens = [0] * self.size + chars + pad, [0] * self.size + tokens + pad
+        for heap in (self.chars, self.tokens):
+            for i in range(self.size - 1, 0, -1):
+                heap[i] = heap[2 * i] + heap[2 * i + 1]
+
+    def leaves(self) -> tuple[list[int], list[int]]:
+        return self.chars[self.size :], self.tokens[self.size :]
 
     def _lay_out(self, text: str) -> None:
         pieces = self.count.cut.findall(text)
         self.text, self.encoded = text, self.encoded + len(text)
         get = self.count.__getitem__
         leaves = [pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)]
-        self.size = 1 << max(0, len(leaves) - 1).bit_length()
-        pad = [0] * (self.size - len(leaves))
-        self.pieces = [len(x) for x in leaves] + pad
-        self.chars = [0] * self.size + [len("".join(x)) for x in leaves] + pad
-        self.tokens = [0] * self.size + [sum(map(get, x)) for x in leaves] + pad
-        for heap in (self.chars, self.tokens):
-            for i in range(self.size - 1, 0, -1):
-                heap[i] = heap[2 * i] + heap[2 * i + 1]
+        self._grow([sum(map(len, x)) for x in leaves], [sum(map(get, x)) for x in leaves])
 
     @property
     def n_tokens(self) -> int:
@@ -95,15 +110,15 @@ class TokenTree:
         first, start = self._leaf_at(max(0, position - LOOKAHEAD))
         while start > 0 and start + LOOKAHEAD >= position:  # a cut this near could move, too
             first, start = self._leaf_at(start - 1)
-        shift, leaf, old_start = len(text) - len(self.text), first, start
-        tokens = pieces = at = 0
-        at = start
+        # the first leaf holds the stretch, so it can end only where a later one starts
+        shift, leaf, old_start = len(text) - len(self.text), first + 1, start + self.chars[self.size + first]
+        tokens, pieces, at = 0, 0, start
         get = self.count.__getitem__
         for m in self.count.cut.finditer(text, start):
             while leaf < self.size and old_start + shift < m.start():  # the old leaf starts, as the new text has them
                 old_start += self.chars[self.size + leaf]
                 leaf += 1
-            if m.start() > start and old_start >= end and old_start + shift == m.start():
+            if leaf < self.size and old_start >= end and old_start + shift == m.start():
                 break
             tokens, pieces, at = tokens + get(m.group()), pieces + 1, m.end()
         else:
@@ -112,11 +127,10 @@ class TokenTree:
         if pieces > 4 * LEAF:
             self._lay_out(text)
             return
-        for i in range(first, max(leaf, first + 1)):
+        for i in range(first, leaf):
             mine = i == first
-            self.pieces[i] = pieces * mine
             self.chars[self.size + i], self.tokens[self.size + i] = (at - start) * mine, tokens * mine
-        low, high = (self.size + first) // 2, (self.size + max(leaf, first + 1) - 1) // 2
+        low, high = (self.size + first) // 2, (self.size + leaf - 1) // 2
         while low:
             for i in range(low, high + 1):
                 for heap in (self.chars, self.tokens):
@@ -124,34 +138,50 @@ class TokenTree:
             low, high = low // 2, high // 2
 
 
-SCHEMA = "n_tokens long, n_tokens_edited long, n_edits long, encoded_chars long, tree_chars array<int>, tree_tokens array<int>"
+TREES = pa.schema([("id", pa.int64()), ("text", pa.string()), ("n_tokens", pa.int64()), ("tree_chars", pa.list_(pa.int32())), ("tree_tokens", pa.list_(pa.int32()))])
+TREE_FIELDS = "id long, text string, n_tokens long, tree_chars array<int>, tree_tokens array<int>"
+#: What an expression of edits gives: a place in code points, how many of them go, what comes in.
+EDIT_TYPE = "array<struct<position:int,removed:int,inserted:string>>"
+EDITED = pa.schema([*TREES, ("n_tokens_before", pa.int64()), ("n_edits", pa.int64()), ("encoded_chars", pa.int64())])
+EDITED_FIELDS = TREE_FIELDS + ", n_tokens_before long, n_edits long, encoded_chars long"
+
+
+def plant(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: str | None = None, tokenizer: str | None = None) -> DataFrame:
+    """id, text, n_tokens, tree_chars, tree_tokens (code points and tokens of the tree's leaves): a row per document.
+
+    ``edits``, an SQL expression over the columns of ``docs``, adds a column of that name for ``edit``.
+    """
+    path = tokenizer or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    schema, fields = TREES, TREE_FIELDS
+    taken = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *([F.expr(edits).cast(EDIT_TYPE).alias("edits")] if edits else []))
+    if edits:
+        schema, fields = pa.schema([*TREES, ("edits", pa.list_(pa.struct([("position", pa.int32()), ("removed", pa.int32()), ("inserted", pa.string())])))]), f"{TREE_FIELDS}, edits {EDIT_TYPE}"
+
+    def run(rows: dict[str, list]) -> dict[str, list]:
+        trees = [TokenTree(text or "", counter(path)) for text in rows["text"]]
+        leaves = [t.leaves() for t in trees]
+        return rows | {"n_tokens": [t.n_tokens for t in trees], "tree_chars": [c for c, _ in leaves], "tree_tokens": [n for _, n in leaves]}
+
+    return taken.mapInArrow(by_slices(run, schema), fields)
 
 
-def count_edited(docs: DataFrame, edits: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, trees: bool = True) -> DataFrame:
-    """Token counts of every text before and after its edits, and the tree's leaves after them.
+def edit(trees: DataFrame, edits: str = "edits", tokenizer: str | None = None) -> DataFrame:
+    """The trees after their edits, with n_tokens_before, n_edits and encoded_chars (how much was encoded for it).
 
-    ``edits`` is an SQL expression over the columns of ``docs``: an array of structs (position, removed, inserted),
-    applied in order. Returns id, text counts and, with ``trees``, the leaves' code points and tokens.
+    ``edits`` is an SQL expression over the columns of ``trees``: an array of structs (position, removed, inserted),
+    applied in order.
     """
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = docs.schema[id_col]
-    out = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("n_tokens_edited", pa.int64()), ("n_edits", pa.int64()), ("encoded_chars", pa.int64())] + [(x, pa.list_(pa.int32())) for x in ("tree_chars", "tree_tokens") if trees])
 
     def run(rows: dict[str, list]) -> dict[str, list]:
-        count, made = counter(path), {x: [] for x in out.names}
-        for key, text, changes in zip(rows["id"], rows["text"], rows["edits"]):
-            tree = TokenTree(text or "", count)
-            before, tree.encoded = tree.n_tokens, 0
-            for e in changes or ():
-                if e is not None:
-                    tree.edit(e["position"] or 0, e["removed"] or 0, e["inserted"] or "")
-            full = {"id": key, "n_tokens": before, "n_tokens_edited": tree.n_tokens, "n_edits": len(changes or ()), "encoded_chars": tree.encoded}
-            if trees:
-                full |= {"tree_chars": tree.chars[tree.size :], "tree_tokens": tree.tokens[tree.size :]}
-            for k, v in full.items():
-                made[k].append(v)
+        made: dict[str, list] = {x: [] for x in EDITED.names}
+        for key, text, before, changes, *leaves in zip(*(rows[x] for x in ("id", "text", "n_tokens", "edits", "tree_chars", "tree_tokens"))):
+            tree = TokenTree(text or "", counter(path), tuple(leaves))
+            changes = [e for e in changes or () if e is not None]
+            for e in changes:
+                tree.edit(e["position"] or 0, e["removed"] or 0, e["inserted"] or "")
+            for name, v in zip(EDITED.names, (key, tree.text if changes else text, tree.n_tokens, *tree.leaves(), before, len(changes), tree.encoded)):
+                made[name].append(v)
         return made
 
-    taken = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.expr(edits).alias("edits"))
-    fields = "id long, n_tokens long, n_tokens_edited long, n_edits long, encoded_chars long" + ", tree_chars array<int>, tree_tokens array<int>" * trees
-    return taken.mapInArrow(by_slices(run, out), fields).withColumnRenamed("id", ids.name)
+    return trees.select("id", "text", "n_tokens", "tree_chars", "tree_tokens", F.expr(edits).cast(EDIT_TYPE).alias("edits")).mapInArrow(by_slices(run, EDITED), EDITED_FIELDS)
