@@ -2,18 +2,23 @@
 
 A text is split at \\n. A line's key is the 64-bit hash of its host and its normalised form (A-Z in lower case, ASCII
 white space runs as one space, none at the ends); lines without a word have none. A key's frequency is the number of
-distinct texts with it, so exact copies count once. Lines above ``max_texts`` are removed; a document that loses more
-than ``max_lost`` percent of its words so is depleted and rejected.
+distinct documents with it; rows of the same id are one document. Lines above ``max_docs`` are removed; a document that
+loses more than ``max_lost`` percent of its words so is depleted and rejected. So a page in many copies is rejected as
+boiler plate; give ``texts=True`` to count exact copies of a text once instead.
 
 Counting is a plain grouped count first, which bounds the distinct count from above; only keys above the limit by that
-are counted exactly. No group is ever collected, and a hot host or line is only a row in partial sums.
+are counted exactly, by (key, document) first. No group is ever collected, and a hot host or line is only a row in
+partial sums. Where lines meet the keys above the limit, a hot line would fill a task: keys with more than a
+``HOT``-th of all lines are at most ``HOT``, and so are broadcast; each of the others has less than that in its task.
 
-Defined results: null and empty texts have no words and fail the base rules; a null host is a host of its own; repeated
-rows are judged each for itself, and none of them raises a frequency. Whole texts are read.
+Defined results: null and empty texts have no words and fail the base rules; a null host is a host of its own; rows
+without an id are documents each for itself; repeated rows are judged each for itself, and none of them raises a
+frequency; an empty table gives an empty one. Whole texts are read, other columns are not.
 """
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +31,9 @@ from .common import by_slices, signed, spool
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 
+#: A line is hot where more than this part of all lines has its key.
+HOT = 4096
+
 BASE = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64())] + [(x, pa.int64()) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "text_hash")] + [("line_keys", pa.list_(pa.int64())), ("line_words", pa.list_(pa.int32()))])
 FIELDS = "doc_id long, rid long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, text_hash long, line_keys array<long>, line_words array<int>"
 
@@ -71,62 +79,72 @@ def measure(rows: dict[str, list]) -> dict[str, list]:
     return made
 
 
-def line_frequency(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", max_texts: int = 20, max_lost: int = 50) -> DataFrame:
+def _lines(base: DataFrame, texts: bool) -> DataFrame:
+    """rid, key, words, and the document that counts: its id (or text), or the row where it has none."""
+    who = [F.col("text_hash").alias("who"), F.lit(None).cast("long").alias("alone")] if texts else [F.col("doc_id").alias("who"), F.when(F.col("doc_id").isNull(), F.col("rid")).alias("alone")]
+    line = F.explode(F.arrays_zip("line_keys", "line_words")).alias("x")
+    return base.select("rid", *who, line).select("rid", "who", "alone", F.col("x.line_keys").alias("key"), F.col("x.line_words").alias("words"))
+
+
+def frequent_lines(base: DataFrame, max_docs: int, texts: bool = False) -> DataFrame:
+    """rid, key, words of the lines whose key more than ``max_docs`` documents have."""
+    lines = _lines(base, texts)
+    counts = spool(lines.groupBy("key").count().filter(F.col("count") > max_docs))
+    total = base.agg(F.sum(F.size("line_keys"))).first()[0] or 0
+    is_hot = F.col("count") * HOT > total  # so at most HOT keys are
+    hot, other = F.broadcast(counts.filter(is_hot).select("key")), counts.filter(~is_hot).select("key")
+    found = lines.join(hot, "key").withColumn("hot", F.lit(True)).union(lines.join(hot, "key", "left_anti").select("key", "rid", "who", "alone", "words").join(other, "key").withColumn("hot", F.lit(False)))
+    found = spool(found)
+    above = spool(found.select("key", "hot", "who", "alone").distinct().groupBy("key", "hot").count().filter(F.col("count") > max_docs))
+    few, many = F.broadcast(above.filter("hot").select("key")), above.filter("NOT hot").select("key")
+    return found.filter("hot").join(few, "key").union(found.filter("NOT hot").join(many, "key")).select("rid", "key", "words")
+
+
+def line_frequency(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", max_docs: int = 20, max_lost: int = 50, texts: bool = False) -> DataFrame:
     """A row per document: base figures, words on removed lines, and the verdict of the method."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text"))
     base = spool(rows.mapInArrow(by_slices(measure, BASE), FIELDS))
-    line = F.explode(F.arrays_zip("line_keys", "line_words"))
-    often = base.select(F.explode("line_keys").alias("key")).groupBy("key").count().filter(F.col("count") > max_texts).select("key")
-    found = base.select("rid", "text_hash", line.alias("x")).select("rid", "text_hash", F.col("x.line_keys").alias("key"), F.col("x.line_words").alias("words")).join(often, "key")
-    found = spool(found)
-    above = found.select("key", "text_hash").distinct().groupBy("key").count().filter(F.col("count") > max_texts).select("key")
-    lost = found.join(above, "key").groupBy("rid").agg(F.sum("words").alias("removed_words"))
+    lost = frequent_lines(base, max_docs, texts).groupBy("rid").agg(F.sum("words").alias("removed_words"))
     out = base.drop("line_keys", "line_words", "text_hash").join(lost, "rid", "left")
     removed = F.coalesce("removed_words", F.lit(0))
     return out.withColumn("removed_words", removed).withColumn("depleted", 100 * F.col("removed_words") > max_lost * F.col("n_words"))
 
 
-def remove_lines(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", max_texts: int = 20, max_lost: int = 50) -> DataFrame:
-    """``docs`` without the documents that the method rejects and without the lines above the limit in the others."""
-    judged = spool(docs.withColumn("__emberlog_rid", F.monotonically_increasing_id()))
-
-    def keys(cols: dict[str, list]) -> dict[str, list]:
-        got = measure(cols)
-        return {"rid": got["rid"], "hash": got["text_hash"], "keys": got["line_keys"]}
-
-    out = pa.schema([("rid", pa.int64()), ("hash", pa.int64()), ("keys", pa.list_(pa.int64()))])
-    base = spool(judged.select(F.lit(0).cast("long").alias("doc_id"), F.col("__emberlog_rid").alias("rid"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text")).mapInArrow(by_slices(keys, out), "rid long, hash long, keys array<long>"))
-    lines = base.select("rid", "hash", F.explode("keys").alias("key"))
-    above = lines.select("key", "hash").distinct().groupBy("key").count().filter(F.col("count") > max_texts).select("key")
-    drop = lines.join(above, "key").groupBy("rid").agg(F.collect_set("key").alias("__emberlog_drop"))
-    joined = judged.join(drop, judged["__emberlog_rid"] == drop["rid"], "left").drop("rid")
-    fields = joined.drop("__emberlog_drop").schema
-    names = [f.name for f in fields if f.name != "__emberlog_rid"]
+def _rewritten(text: str | None, host: str | None, drop: list[int] | None, max_lost: int) -> tuple[str | None, bool]:
+    """A text without the lines of the keys, and whether it stays."""
+    if not drop or text is None:
+        return text, True
+    start = xxhash.xxh64(b"\1" if host is None else b"\0" + host.encode() + b"\0")
+    gone, total, left, keys = 0, 0, [], set(drop)
+    for line in text.split("\n"):
+        own = line.encode().split()
+        h = start.copy()
+        h.update(b" ".join(own).lower())
+        total += len(own)
+        if own and signed(h.intdigest()) in keys:
+            gone += len(own)
+        else:
+            left.append(line)
+    return "\n".join(left), 100 * gone <= max_lost * total
+
+
+def remove_lines(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", max_docs: int = 20, max_lost: int = 50, texts: bool = False) -> DataFrame:
+    """``docs`` without the documents that the method rejects and without the lines above the limit in the others; columns as before."""
+    own = docs.columns
+    # names that clash with none of the columns
+    rid, host, drop = (next(x for n in range(len(own) + 1) if (x := f"__{name}_{n}") not in own) for name in ("rid", "host", "drop"))
+    judged = spool(docs.withColumn(rid, F.monotonically_increasing_id()).withColumn(host, F.col(host_col).cast("string")))
+    rows = judged.select(F.col(id_col).cast("long").alias("doc_id"), F.col(rid).alias("rid"), F.col(host).alias("host"), F.col(text_col).alias("text"))
+    base = spool(rows.mapInArrow(by_slices(measure, BASE), FIELDS))
+    keys = frequent_lines(base, max_docs, texts).groupBy("rid").agg(F.collect_set("key").alias(drop)).select(F.col("rid").alias(rid), drop)
+    joined = judged.join(keys, rid, "left").select(*own, host, drop)
 
-    def rewrite(batches):
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = batch.to_pydict()
-            keep = []
-            for i, drop in enumerate(cols["__emberlog_drop"]):
-                text, host = cols[text_col][i], cols[host_col][i]
-                if not drop or text is None:
-                    keep.append(i)
-                    continue
-                start = xxhash.xxh64(b"\1" if host is None else b"\0" + str(host).encode() + b"\0")
-                gone, total, left = 0, 0, []
-                for line in text.split("\n"):
-                    own = line.encode().split()
-                    h = start.copy()
-                    h.update(b" ".join(own).lower())
-                    total += len(own)
-                    if own and signed(h.intdigest()) in drop:
-                        gone += len(own)
-                    else:
-                        left.append(line)
-                if 100 * gone <= max_lost * total:
-                    cols[text_col][i] = "\n".join(left)
-                    keep.append(i)
-            whole = pa.RecordBatch.from_pydict({n: cols[n] for n in names}, schema=pa.schema([batch.schema.field(n) for n in names]))
-            yield whole.take(pa.array(keep, pa.int64()))
-
-    return joined.mapInArrow(rewrite, type(fields)([f for f in fields if f.name != "__emberlog_rid"]))
+            i, parts = batch.schema.get_field_index(text_col), [batch.slice(at, 256) for at in range(0, batch.num_rows, 256)]
+            for part in parts:
+                made = [_rewritten(t, h, d, max_lost) for t, h, d in zip(part.column(i).to_pylist(), part.column(host).to_pylist(), part.column(drop).to_pylist())]
+                part = part.set_column(i, batch.schema.field(i), pa.array([t for t, _ in made], batch.schema.field(i).type))
+                yield part.filter(pa.array([stays for _, stays in made], pa.bool_())).select(own)
+
+    return joined.mapInArrow(rewrite, docs.schema)
