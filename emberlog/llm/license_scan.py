@@ -10,6 +10,9 @@ given. A "+" after a version is no word and is not seen.
 
 Base phrases are counted at every place and their labels stay, whatever is suppressed.
 
+Running sums and maxima over the detections of a text go by blocks of about the root of their number, so that appending to
+arrays costs little however long the text and however many its detections.
+
 Defined results: null texts are empty: no words, no labels, score 0; repeated rows are scanned each for itself; null
 ids stay null. Whole texts are read.
 """
@@ -222,19 +225,59 @@ def by_keyword() -> list[dict]:
 
 #: One of these occurs in the lower-cased text wherever a rule or a base phrase matches.
 GATES = (
-    "licen", "cc", "copyright", "rights", "public", "spdx", "released", "distributed", "available", "published", "permission", "redistribution", "provided", "covered", "governed",
+    "licen", "copyright", "rights", "public", "spdx", "released", "distributed", "available", "published", "permission", "redistribution", "provided", "covered", "governed",
     "subject", "offered", "issued", "shared", "dedicated", "terms", "conditions", "provisions", "gpl", "bsd", "fdl", "clause", "commons", "wtfpl", "fuck", "cddl", "eupl", "sspl", "odbl", "neighboring", "apache",
 )
-#: Short names that other words contain: at the start of a word only.
-SHORT_GATES = r"(?<![0-9a-z])(?:mpl|epl|ofl|busl)(?=v?[0-9]|[^0-9a-z])"
+#: Short names that other words contain: at the start of a word only, and "cc" only with what makes it a licence.
+SHORT_GATES = r"(?<![0-9a-z])(?:(?:mpl|epl|ofl|busl)(?=v?[0-9]|[^0-9a-z])|cc(?:0(?![0-9a-z])|[\x00-\x2F\x3A-\x60\x7B-\x7F]+by))"
 
 
 def _n_words(piece: Column) -> Column:
     return F.length(piece) - F.length(F.replace(piece, F.lit(" "), F.lit("")))
 
 
+#: What a detection is; neg is its end, negated, so that of equal starts the longer one sorts first.
+DETECTION = "struct<start:int,neg:int,priority:int,label:string,weight:double>"
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL for ``body`` with a name for a value that is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _blocked(items: str) -> str:
+    """SQL for an array cut into blocks of about the root of its length."""
+    return f"transform(sequence(0, greatest(size({items}) - 1, 0), greatest(1, cast(ceil(sqrt(size({items}))) as int))), b -> slice({items}, b + 1, greatest(1, cast(ceil(sqrt(size({items}))) as int))))"
+
+
+def _before(numbers: str) -> str:
+    """SQL for the sums of the numbers before each one of an array that is not empty."""
+    sums = "aggregate({}, named_struct('at', 0, 'd', cast(array() as array<int>)), (acc, x) -> named_struct('at', acc.at + {}, 'd', concat(acc.d, array(acc.at))))"
+    inner = f"transform({_blocked('ns')}, block -> {sums.format('block', 'x')})"
+    return _let("ns", numbers, _let("inner", inner, f"flatten(zip_with(inner, {sums.format('inner', 'x.at')}.d, (i, base) -> transform(i.d, y -> y + base)))"))
+
+
+#: Detections of all rules that are tried: each match, with the words before it and its own.
+ALL = f"""
+flatten(transform(filter(transform(rules, r -> named_struct('r', r, 'm', regexp_extract_all(norm, r.regex, 0), 'p', split(norm, r.regex))), y -> size(y.m) > 0), y ->
+ {_let("w", "zip_with(y.m, slice(y.p, 1, size(y.m)), (m, p) -> named_struct('n', length(m) - length(replace(m, ' ', '')), 'p', length(p) - length(replace(p, ' ', ''))))",
+  f"zip_with(w, {_before('transform(w, v -> v.n + v.p)')}, (v, at) -> named_struct('start', at + v.p, 'neg', -(at + v.p + v.n), 'priority', y.r.priority, 'label', y.r.label, 'weight', cast(y.r.weight as double)))")}))"""
+#: The furthest end by priority (of that and better ones) after a detection.
+FURTHER = "transform({}, (e, i) -> IF(i >= x.priority, greatest(e, -x.neg), e))"
+#: Of the sorted detections those that no earlier one of the same or a better priority contains. (One that is contained
+#: itself may count: what contains it ends no earlier.)
+KEPT = _let("blocks", _blocked("`all`"), _let(
+    "bases",
+    f"aggregate(blocks, named_struct('e', array(0, 0, 0, 0, 0), 'd', cast(array() as array<array<int>>)), (acc, block) -> named_struct('e', aggregate(block, acc.e, (far, x) -> {FURTHER.format('far')}), 'd', concat(acc.d, array(acc.e)))).d",
+    f"""flatten(zip_with(blocks, bases, (block, base) -> aggregate(block, named_struct('e', base, 'd', cast(array() as array<{DETECTION}>)), (acc, x) ->
+     named_struct('e', {FURTHER.format('acc.e')}, 'd', IF(element_at(acc.e, x.priority + 1) >= -x.neg, acc.d, concat(acc.d, array(x)))), acc -> acc.d)))"""))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections (that are not suppressed)."""
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections.
+
+    detections are those that are not suppressed, in order: start and stop (words from 0), priority, label, weight.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("low", F.lower("text"))
     gate = F.lit(False)
@@ -260,22 +303,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     tried = F.when(F.col("norm").isNotNull(), F.flatten(F.transform(F.filter(ordered, lambda g: F.contains(F.col("norm"), g["keyword"])), lambda g: g["rules"])))
     rows = rows.withColumn("rules", tried).withColumn("base", found)
     rows = rows.withColumn("n_base", places.cast("long")).withColumn("first_word", F.least(*firsts).cast("long")).withColumn("last_word", F.greatest(*lasts).cast("long"))
-    # each match of a rule: the words before it, and its own
-    per_rule = """
-    flatten(transform(filter(transform(rules, r -> named_struct('r', r, 'm', regexp_extract_all(norm, r.regex, 0), 'p', split(norm, r.regex))), y -> size(y.m) > 0), y ->
-     aggregate(zip_with(y.m, slice(y.p, 1, size(y.m)), (m, p) -> named_struct('n', length(m) - length(replace(m, ' ', '')), 'p', length(p) - length(replace(p, ' ', '')))),
-      named_struct('at', 0, 'd', cast(array() as array<struct<start:int,neg:int,priority:int,label:string,weight:double>>)),
-      (acc, x) -> named_struct('at', acc.at + x.p + x.n, 'd', concat(acc.d, array(named_struct('start', acc.at + x.p, 'neg', -(acc.at + x.p + x.n), 'priority', y.r.priority, 'label', y.r.label, 'weight', cast(y.r.weight as double))))),
-      acc -> acc.d)))"""
-    rows = rows.withColumn("all", F.when(F.size("rules") > 0, F.array_sort(F.expr(per_rule))))
-    # containment: the furthest end so far by priority; sorting puts containers before what they contain
-    kept = """
-    aggregate(`all`, named_struct('e', array(0, 0, 0, 0, 0), 'k', cast(array() as array<string>), 'w', 0D),
-     (acc, x) -> CASE WHEN array_max(slice(acc.e, 1, x.priority + 1)) >= -x.neg THEN acc ELSE named_struct(
-       'e', transform(acc.e, (e, i) -> IF(i = x.priority, greatest(e, -x.neg), e)),
-       'k', array_union(acc.k, array(x.label)), 'w', greatest(acc.w, x.weight)) END)"""
-    rows = rows.withColumn("kept", F.when(F.col("all").isNotNull(), F.expr(kept)))
-    none = F.expr("cast(array() as array<string>)")
-    labels = F.array_sort(F.array_union(F.array_distinct("base"), F.coalesce(F.col("kept")["k"], none)))
-    score = F.greatest(F.coalesce(F.col("kept")["w"], F.lit(0.0)), F.when(F.col("n_base") > 0, 0.9).otherwise(0.0))
-    return rows.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort(F.array_distinct("base")), ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"))
+    rows = rows.withColumn("all", F.when(F.size("rules") > 0, F.array_sort(F.expr(ALL))))
+    rows = rows.withColumn("kept", F.when(F.size("all") > 0, F.expr(KEPT)).otherwise(F.expr(f"cast(array() as array<{DETECTION}>)")))
+    labels = F.array_sort(F.array_distinct(F.concat("base", F.transform("kept", lambda x: x["label"]))))
+    score = F.greatest(F.coalesce(F.array_max(F.transform("kept", lambda x: x["weight"])), F.lit(0.0)), F.when(F.col("n_base") > 0, 0.9).otherwise(0.0))
+    detections = F.transform("kept", lambda x: F.struct(x["start"].alias("start"), (-x["neg"]).alias("stop"), x["priority"].alias("priority"), x["label"].alias("label"), x["weight"].alias("weight")))
+    return rows.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort(F.array_distinct("base")), ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"), detections.alias("detections"))
