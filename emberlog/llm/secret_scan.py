@@ -12,7 +12,6 @@ in its length (segments other than repeats and brute force are short); repeated
 """
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from functools import lru_cache
@@ -160,25 +159,18 @@ def spans(text: str, min_log10: float = 9.0, words: tuple[str, ...] | None = Non
     return base, sorted(base + guess_spans(text, base, min_log10, words), key=lambda x: (x[0], KINDS.index(x[2])))
 
 
-def joined(found: list[tuple[int, int, str]]) -> str:
-    return ",".join(f"{k}:{a}:{b}" for a, b, k in found)
+SPANS = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.string())])))])
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_log10: float = 9.0, words: tuple[str, ...] | None = None) -> DataFrame:
-    """doc_id, spans (array of struct<start, end, kind>), base (how many of each base kind, and their digest)."""
-    out = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string())])
+    """doc_id and spans: an array of struct<start, stop, kind> (code points), by start, then kind as in KINDS."""
 
     def run(rows: dict[str, list]) -> dict[str, list]:
         begin()
-        made: dict[str, list] = {x: [] for x in out.names}
-        for key, text in zip(rows["doc_id"], rows["text"]):
-            base, every = spans(text or "", min_log10, words)
-            kinds = [k for _, _, k in base]
-            for name, v in zip(out.names, (key, *map(kinds.count, KINDS[:3]), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every))):
-                made[name].append(v)
-        return made
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(by_slices(run, out), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+        found = [spans(text or "", min_log10, words)[1] for text in rows["text"]]
+        return {"doc_id": rows["doc_id"], "spans": [[{"start": a, "stop": b, "kind": k} for a, b, k in x] for x in found]}
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(by_slices(run, SPANS), "doc_id long, spans array<struct<start:int,stop:int,kind:string>>")
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", min_log10: float = 9.0, words: tuple[str, ...] | None = None) -> DataFrame:
