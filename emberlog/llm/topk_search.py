@@ -6,12 +6,15 @@ threshold, which is the score that a row with all components as they stand at th
 not yet met; reading stops when it cannot beat the kth best score so far. Ties go to the smaller id, so a threshold that
 equals the kth score does not stop it. The depth doubles at each step, so that steps are few and NumPy does the work.
 
-Queries are taken in blocks of ``query_block`` rows, whose size is known before they are sent to the executors; every
-block reads all candidates. Blocks of candidates keep k rows a query, which are merged by a grouped rank.
-
-Defined results: vectors that are null, empty, or hold null or non-finite components, and null ids, take no part; a query meets only
-vectors of its own length, and none with its own id (a repeated row counts as the same); fewer candidates than k give
-all of them; scores beyond 64 bits are an error. Repeated candidates are ranked each for itself.
+Candidates are numbered into blocks of about ``rows_block`` rows; every query goes to every block, and meets it in one
+task that has built the block's lists once, before its first query. So a task holds one block and ``query_block`` queries
+at a time, the driver nothing, and all of it is one shuffle. Blocks keep k rows a query, which are merged by a grouped rank.
+
+Defined results: vectors that are null, empty, or hold null or non-finite components, and null ids, take no part; a query
+meets only vectors of its own length, and none with its own id; fewer candidates than k give all of them. Queries that
+agree in id and vector are one query; those of one id and different vectors are ranked each for itself. Repeated
+candidates are ranked each for itself, ties among them in any order. Scores are exact; only a score among the k best that
+is beyond 64 bits is an error. A query condition that is null is false. Other columns serve the condition only.
 """
 from __future__ import annotations
 
@@ -23,23 +26,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: float64 adds and multiplies integers exactly below this.
-EXACT = 1 << 53
+from .common import spool
+
+#: float64 adds and multiplies integers exactly below this, int64 below that.
+EXACT, LONG = 1 << 53, 1 << 63
 
 
 class SortedLists:
-    """A block of candidates of one length, sorted by every dimension."""
+    """A block of candidates of one length (int64), sorted by every dimension."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         self.ids, self.rows = ids, rows
+        self.most = max(abs(int(rows.min())), abs(int(rows.max())))
         self.order = np.argsort(rows, axis=0, kind="stable").T.copy()  # a list of rows per dimension, ascending
         self.values = np.take_along_axis(rows.T, self.order, axis=1)
+        self.floats = rows.astype(np.float64)
 
     def search(self, query: np.ndarray, own: int | None, k: int, first: int = 16) -> list[tuple[int, int]]:
-        """The k best (score, id) for a query, best first."""
+        """The k best (score, id) for a query (int64), best first."""
         n, dims = self.rows.shape
         used = np.flatnonzero(query)
         down = query[used] > 0
+        bound = self.most * max(abs(int(query.min())), abs(int(query.max()))) * dims
+        kind = np.float64 if bound < EXACT else np.int64 if bound < LONG else object
+        rows, q = self.floats if kind is np.float64 else self.rows, query.astype(kind)
         seen, depth, top = np.zeros(n, bool), 0, []
         step = first
         while depth < n:
@@ -54,7 +64,7 @@ class SortedLists:
             new = np.flatnonzero(fresh & ~seen)
             seen |= fresh
             if len(new):
-                scores = self.rows[new] @ query
+                scores = rows[new].astype(kind, copy=False) @ q
                 if own is not None:
                     keep = self.ids[new] != own
                     new, scores = new[keep], scores[keep]
@@ -66,10 +76,12 @@ class SortedLists:
             depth, step = to, step * 2
             if depth < n and len(top) == k:
                 edge = np.where(down, self.values[used, n - depth - 1], self.values[used, depth])
-                if float(edge @ query[used]) < -top[-1][0]:
+                if int(edge.astype(kind) @ q[used]) < -top[-1][0]:
                     break
             if seen.all():
                 break
+        if any(not -LONG <= -s < LONG for s, _ in top):
+            raise OverflowError("a score is beyond 64 bits")
         return [(-s, i) for s, i in top]
 
 
@@ -79,56 +91,68 @@ def usable(vector: str) -> "F.Column":
     return v.isNotNull() & (F.size(v) > 0) & ~bad
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[np.ndarray, list]]:
+def _vectors(parts: list[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, pa.RecordBatch, np.ndarray]]:
+    """The rows of each length: the length, vectors as a matrix, their rows, and which of these they are."""
+    if not parts:
+        return
+    whole = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+    lists = whole.column("v")
+    lengths = np.array(lists.value_lengths())
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    for d in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == d)
+        yield d, flat[offsets[at][:, None] + np.arange(d)], whole, at
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, bool, pa.RecordBatch]]:
+    """Stretches of at most ``most`` rows of one block, of candidates or of queries: the block, whether these are queries, the rows."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            part = batch.slice(at, rows)
-            yield part.column(0), part.column(1)
+        block, query = batch.column("block").to_numpy(), batch.column("q").is_valid().to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero((block[1:] != block[:-1]) | (query[1:] != query[:-1])) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            for at in range(a, b, most):
+                yield int(block[a]), bool(query[a]), batch.slice(at, min(b, at + most) - at)
 
 
-OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+OUT = pa.schema([("q", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
 def top_k(vectors: DataFrame, is_query: str, id_col: str = "vec_id", vector_col: str = "vector", k: int = 5, query_block: int = 4096, rows_block: int = 8192) -> DataFrame:
-    """query_id, rank, vec_id, score of the k best rows for every query. ``vector_col`` holds arrays of whole numbers."""
-    good = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).filter(F.col("id").isNotNull() & usable("v")).withColumn("v", F.col("v").cast("array<double>"))
-    wanted = good.filter(F.expr(is_query.replace(id_col, "id")))
-    n = wanted.count()
-    blocks = max(1, math.ceil(n / query_block))
-    found = None
-    for b in range(blocks):
-        # by a hash of the id, so a block holds about query_block rows and needs no sort
-        own = wanted if blocks == 1 else wanted.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
-        rows = own.collect()
-        by_length: dict[int, tuple[list, list]] = {}
-        for r in rows:
-            ids, vs = by_length.setdefault(len(r["v"]), ([], []))
-            ids.append(r["id"])
-            vs.append(r["v"])
-        queries = vectors.sparkSession.sparkContext.broadcast({d: (ids, np.array(vs, np.float64)) for d, (ids, vs) in by_length.items()})
-
-        def search(batches: Iterator[pa.RecordBatch], queries=queries) -> Iterator[pa.RecordBatch]:
-            for ids, lists in _blocks(batches, rows_block):
-                lengths = np.array(lists.value_lengths())
-                offsets = np.concatenate([[0], np.cumsum(lengths)])
-                flat = lists.flatten().to_numpy(zero_copy_only=False)
-                numbers = np.array(ids.fill_null(np.iinfo(np.int64).min))
-                made: dict[str, list] = {x: [] for x in OUT.names}
-                for d, (qids, qs) in queries.value.items():
-                    at = np.flatnonzero(lengths == d)
-                    if not len(at):
-                        continue
-                    block = SortedLists(numbers[at], flat[offsets[at][:, None] + np.arange(d)])
-                    if np.abs(block.rows).max() * np.abs(qs).max() * d >= EXACT:
-                        raise OverflowError("components are too large for exact scores")
-                    for q, v in zip(qids, qs):
-                        for score, i in block.search(v, q, k):
-                            made["query_id"].append(q)
-                            made["vec_id"].append(i)
-                            made["score"].append(score)
-                yield pa.RecordBatch.from_pydict(made, schema=OUT)
-
-        part = good.mapInArrow(search, "query_id long, vec_id long, score long")
-        found = part if found is None else found.union(part)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    """query_id, rank, vec_id, score of the k best rows for every query. ``vector_col`` holds arrays of whole numbers.
+
+    ``is_query`` is an SQL condition over the columns of ``vectors``.
+    """
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.expr(is_query).alias("wanted"))
+    good = rows.filter(F.col("id").isNotNull() & usable("v")).withColumn("v", F.col("v").cast("array<bigint>"))
+    blocks = max(1, math.ceil(good.count() / rows_block))
+    asked = spool(good.filter("wanted").select("id", "v").distinct().withColumn("q", F.monotonically_increasing_id()))
+    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "q", "id", "v")
+    # numbered by place, so that repeated rows do not share a block
+    block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
+    both = good.select(block.alias("block"), F.lit(None).cast("long").alias("q"), "id", "v").unionByName(asked)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by block, candidates first."""
+        at, candidates, lists = None, [], None
+        for block, query, part in _stretches(batches, query_block):
+            if block != at:
+                at, candidates, lists = block, [], None
+            if not query:
+                candidates.append(part)
+                continue
+            if lists is None:
+                lists, candidates = {d: SortedLists(whole.column("id").to_numpy()[i], m) for d, m, whole, i in _vectors(candidates)}, []
+            made: dict[str, list] = {x: [] for x in OUT.names}
+            for d, matrix, whole, i in _vectors([part]):
+                if d in lists:
+                    for q, own, v in zip(whole.column("q").to_numpy()[i].tolist(), whole.column("id").to_numpy()[i].tolist(), matrix):
+                        for score, other in lists[d].search(v, own, k):
+                            for x, y in zip(OUT.names, (q, own, other, score)):
+                                made[x].append(y)
+            yield pa.RecordBatch.from_pydict(made, schema=OUT)
+
+    dealt = both.repartition("block").sortWithinPartitions("block", F.col("q").asc_nulls_first())
+    found = dealt.mapInArrow(search, "q long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
