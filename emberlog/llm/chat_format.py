@@ -1,7 +1,7 @@
 """Conversations as a prefix forest: shared first turns are emitted once, depth first.
 
 Every turn becomes a segment ``<s>role[INST]text[/INST]</s>`` with control strings inside roles and texts escaped
-reversibly. Conversations are sorted by the chain of their turns' prefix hashes; in that order, a conversation repeats
+reversibly. Turns are hashed first, and only those that are emitted are tokenised. Conversations are sorted by the chain of their turns' prefix hashes; in that order, a conversation repeats
 exactly the segments it shares with the one before it, so it emits only those after them. That is the depth-first
 order of the prefix tree, without ever gathering a tree: sorting is by ranges, and ranges that cut a hot tree only need
 the last chain of the range before. Each emitted segment carries its token ids, its place in the stream of its range,
@@ -9,7 +9,8 @@ position ids (tokens of its ancestors, then counting), and the intervals of its
 that it may attend to. The loss mask is the interval of an assistant's text.
 
 Defined results: null texts and roles are empty; turns are sorted by (turn, role, text), nulls first; repeated turns
-count each; a null conv_id is one conversation; an empty table gives empty tables.
+count each; a null conv_id is one conversation; an empty table gives empty tables; other columns are not read. The
+driver holds one chain of hashes per range, and tasks stream conversations turn by turn.
 """
 from __future__ import annotations
 
@@ -19,13 +20,14 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spool
+from .common import slices, spool
 
 OPEN, TEXT, END, CLOSE = "<s>", "[INST]", "[/INST]", "</s>"
 CONTROLS = (OPEN, TEXT, END, CLOSE)
@@ -52,35 +54,72 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return [(unescape(a), unescape(b)) for a, b in _segment.findall(formatted)]
 
 
+class Codec:
+    """Turns to ids and back, many at a time."""
+
+    def __init__(self, path: str):
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.encoding = tiktoken.Encoding("chat", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        for token, i in ranks.items():
+            self.sizes[i] = len(token)
+        self.ids = lru_cache(maxsize=1024)(self.encoding.encode_to_numpy)  # of headers and footers, which are few
+
+    def encode(self, roles: list[str], texts: list[str]) -> tuple[pa.ListArray, np.ndarray, np.ndarray]:
+        """Ids of each turn's segment, and where its text starts and ends in them."""
+        parts, starts, ends, at, stops = [], [], [], 0, [0]
+        for role, text in zip(roles, texts):
+            head, body, foot = render(role, text)
+            a, b, c = self.ids(head), self.encoding.encode_to_numpy(body), self.ids(foot)
+            parts += (a, b, c)
+            starts.append(len(a))
+            ends.append(len(a) + len(b))
+            at += len(a) + len(b) + len(c)
+            stops.append(at)
+        flat = np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)
+        return pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(flat)), np.array(starts, np.int32), np.array(ends, np.int32)
+
+    def decode(self, ids: pa.ListArray) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """The bytes of all ids, where each id starts in them, and where each row does in the ids."""
+        flat = ids.flatten().to_numpy()
+        return self.encoding.decode_bytes(flat.tolist()), np.concatenate([[0], np.cumsum(self.sizes[flat])]), np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())])
+
+
 @lru_cache(maxsize=2)
-def encoding(path: str) -> tiktoken.Encoding:
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("chat", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+def codec(path: str) -> Codec:
+    return Codec(path)
+
+
+TURNS = pa.schema([("conv_id", pa.int64()), ("k", pa.int64()), ("node", pa.binary()), ("role", pa.string()), ("text", pa.string())])
+TURN_FIELDS = "conv_id long, k long, node binary, role string, text string"
+
 
+def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by conversation and turn: adds the hash of the prefix that ends with each turn."""
+    conv, k, prefix = object(), 0, b""
+    for batch in batches:
+        ks, nodes = [], []
+        for c, role, text in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "role", "text"))):
+            if c != conv:
+                conv, k, prefix = c, 0, b""
+            prefix = hashlib.blake2b(prefix + f"{len(role)}:{role}{text}".encode(), digest_size=16).digest()
+            ks.append(k)
+            nodes.append(prefix)
+            k += 1
+        yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array(ks, pa.int64()), pa.array(nodes, pa.binary()), batch.column("role"), batch.column("text")], schema=TURNS)
 
-TURNS = pa.schema([("conv_id", pa.int64()), ("k", pa.int64()), ("node", pa.binary()), ("role", pa.string()), ("ids", pa.list_(pa.int32())), ("loss_from", pa.int32()), ("loss_to", pa.int32())])
-TURN_FIELDS = "conv_id long, k long, node binary, role string, ids array<int>, loss_from int, loss_to int"
 
+EMITTED = pa.schema([("node", pa.binary()), ("range", pa.int32()), ("rank", pa.int64()), ("depth", pa.int64()), ("ids", pa.list_(pa.int32())), ("loss_from", pa.int32()), ("loss_to", pa.int32())])
 
-def _chain(path: str):
+
+def _tokenised(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by conversation and turn: adds the hash of the prefix that ends with each turn, and its tokens."""
-        enc, conv, k, prefix = encoding(path), object(), 0, b""
-        for batch in batches:
-            made: dict[str, list] = {n: [] for n in TURNS.names}
-            for c, role, text in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "role", "text"))):
-                role, text = role or "", text or ""
-                if c != conv:
-                    conv, k, prefix = c, 0, b""
-                head, body, foot = render(role, text)
-                prefix = hashlib.blake2b(prefix + f"{len(role)}:{role}{text}".encode(), digest_size=16).digest()
-                a, b, z = (enc.encode_ordinary(x) for x in (head, body, foot))
-                loss = (len(a), len(a) + len(b)) if role == "assistant" else (0, 0)
-                for n, v in zip(TURNS.names, (c, k, prefix, role, a + b + z, *loss)):
-                    made[n].append(v)
-                k += 1
-            yield pa.RecordBatch.from_pydict(made, schema=TURNS)
+        for part in slices(batches, "text", 1 << 23):
+            roles = part.column("role").to_pylist()
+            ids, a, b = codec(path).encode(roles, part.column("text").to_pylist())
+            said = np.array([r == "assistant" for r in roles], bool)
+            yield pa.RecordBatch.from_arrays([*(part.column(x) for x in ("node", "range", "rank", "depth")), ids, pa.array(np.where(said, a, 0).astype(np.int32)), pa.array(np.where(said, b, 0).astype(np.int32))], schema=EMITTED)
 
     return run
 
@@ -109,10 +148,17 @@ def prefix_forest(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "
     first token; the others count on), ancestors (array of struct<range, from, to>: the intervals of earlier tokens that
     may be attended to, outermost first, neighbours merged), loss_from, loss_to. paths: conv_id, k, node.
     """
+    segments, spans, paths = forest(turns, conv_col, turn_col, role_col, text_col, tokenizer)
+    return segments.join(spans, "node"), paths
+
+
+def forest(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", tokenizer: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``nodes`` in two tables that share ``node``, segments (node, range, depth, ids, loss_from, loss_to) and spans (the rest), and ``paths``."""
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    rows = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).alias("text"))
+    empty = F.lit("")
+    rows = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col).cast("string"), empty).alias("role"), F.coalesce(F.col(text_col).cast("string"), empty).alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-    chained = spool(rows.mapInArrow(_chain(path), TURN_FIELDS))
+    chained = spool(rows.mapInArrow(_chain, TURN_FIELDS))
     convs = chained.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "node"))), lambda x: x["node"]).alias("chain"))
     n = max(1, int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = spool(convs.repartitionByRange(n, "chain", "conv_id").sortWithinPartitions("chain", "conv_id").select("*", F.spark_partition_id().alias("range"), F.monotonically_increasing_id().alias("rank")))
@@ -136,7 +182,8 @@ def prefix_forest(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "
 
     placed = ordered.repartition("range").sortWithinPartitions("range", "rank").mapInArrow(place, "conv_id long, range int, rank long, own_from long")
     same = chained["conv_id"].eqNullSafe(placed["conv_id"])
-    own = spool(chained.join(placed, same & (chained["k"] >= placed["own_from"])).select(chained["node"], "range", "rank", chained["k"].alias("depth"), "ids", "loss_from", "loss_to"))
+    emitted = chained.join(placed, same & (chained["k"] >= placed["own_from"])).select(chained["node"], "range", "rank", chained["k"].alias("depth"), "role", "text")
+    own = spool(emitted.mapInArrow(_tokenised(path), "node binary, range int, rank long, depth long, ids array<int>, loss_from int, loss_to int"))
     # place in the range's stream: a running sum by (rank, depth) inside a range
     sizes = own.select("node", "range", "rank", "depth", F.size("ids").alias("tokens"))
 
@@ -186,42 +233,49 @@ def prefix_forest(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "
                     made[name].append(v)
             yield pa.RecordBatch.from_pydict(made, schema=SPANS)
 
-    placed_nodes = streams.mapInArrow(attention, SPAN_FIELDS)
-    nodes = own.select("node", "range", "depth", "ids", "loss_from", "loss_to").join(placed_nodes, "node")
-    return nodes, chained.select("conv_id", "k", "node")
+    return own.drop("rank"), streams.mapInArrow(attention, SPAN_FIELDS), chained.select("conv_id", "k", "node")
 
 
 DIGEST = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
 
 def read_back(nodes: DataFrame, paths: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """Digests of every conversation, decoded from the nodes on its path."""
+    """Digests of every conversation, decoded from the nodes (or segments) on its path."""
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, conv, state = encoding(path), object(), None
+        conv, state = object(), None
 
-        def result() -> dict[str, list]:
+        def result() -> tuple:
             n, turns, chars, loss, formatted = state
-            return {k: [v] for k, v in zip(DIGEST.names, (conv, n, turns.hexdigest(), chars, loss.hexdigest(), formatted))}
+            return conv, n, turns.hexdigest(), chars, loss.hexdigest(), formatted
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict(dict(zip(DIGEST.names, zip(*rows))) if rows else {x: [] for x in DIGEST.names}, schema=DIGEST)
 
         for batch in batches:
-            for c, ids, a, b in zip(*(batch.column(x).to_pylist() for x in ("conv_id", "ids", "loss_from", "loss_to"))):
-                if c != conv or state is None:
-                    if state is not None:
-                        yield pa.RecordBatch.from_pydict(result(), schema=DIGEST)
-                    conv, state = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                segment = enc.decode_bytes(ids).decode()
-                for role, text in parse(segment):
-                    state[0] += 1
-                    state[1].update(f"{role}\n{text}\n".encode())
-                if b > a:
-                    text = unescape(enc.decode_bytes(ids[a:b]).decode())
-                    state[2] += len(text)
-                    state[3].update(text.encode())
-                state[4] += len(segment)
+            for at in range(0, batch.num_rows, 1024):
+                part, done = batch.slice(at, 1024), []
+                data, byte_at, id_at = codec(path).decode(part.column("ids"))
+                losses = zip(part.column("loss_from").to_pylist(), part.column("loss_to").to_pylist())
+                for i, (c, (a, b)) in enumerate(zip(part.column("conv_id").to_pylist(), losses)):
+                    if c != conv or state is None:
+                        if state is not None:
+                            done.append(result())
+                        conv, state = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    first = id_at[i]
+                    segment = data[byte_at[first] : byte_at[id_at[i + 1]]].decode()
+                    for role, text in parse(segment):
+                        state[0] += 1
+                        state[1].update(f"{role}\n{text}\n".encode())
+                    if b > a:
+                        text = unescape(data[byte_at[first + a] : byte_at[first + b]].decode())
+                        state[2] += len(text)
+                        state[3].update(text.encode())
+                    state[4] += len(segment)
+                yield batch_of(done)
         if state is not None:
-            yield pa.RecordBatch.from_pydict(result(), schema=DIGEST)
+            yield batch_of([result()])
 
     rows = paths.join(nodes.select("node", "ids", "loss_from", "loss_to"), "node").select("conv_id", "k", "ids", "loss_from", "loss_to")
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "k").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
