@@ -16,9 +16,13 @@
    that pass, and that no earlier link has joined, have their sorted arrays intersected.
 5. Links are contracted to components by alternating star steps, all in joins and partial sums.
 
+Classes are exact, but not every link is found: pairs that an earlier link has joined are not tested, so the links of a
+class span it, and their number is no count of all linked pairs. Every link between different classes would be found.
+
 Defined results: texts without words (and nulls) have the empty set, are linked with nothing and are components of
 their own; texts with fewer words than a shingle have their whole sequence as one; the class id is the smallest id of a
-class, nulls aside; repeated rows are alike, so they share a class (rows with the empty set: that of their own id).
+class, nulls aside; repeated rows are alike, so they share a class (rows with the empty set: that of their own id); an
+empty table gives an empty one; other columns are not read.
 """
 from __future__ import annotations
 
@@ -265,6 +269,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = spool(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     state = None
     while True:
+        old = edges
         # large star: larger neighbours go to the smallest of the neighbourhood
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -275,6 +280,8 @@ def components(links: DataFrame) -> DataFrame:
         # small star: smaller neighbours and the node itself go to the smallest of them
         low = spool(big.groupBy("u").agg(F.min("v").alias("m")))
         edges = spool(big.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct())
+        for done in (old, least, big, low):
+            unspool(done)
         new = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == state:
             roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -376,11 +383,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each class, that with the smallest id; columns as before.
+    """``docs`` with one row of each class, that with the smallest id (of equal ids, any one); columns as before.
 
-    Of rows with the same id one stays. Rows without an id are compared for equal texts among themselves only.
+    Classes are those of rows: rows are numbered, so rows without an id are compared like all others (and stay only where
+    their class has no row with an id), and rows that share an id by mistake are judged by their texts. Rows without words
+    are linked with nothing, so all of them stay.
     """
-    found = near_duplicates(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, width, percent)
-    kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    one = docs.join(kept, docs[id_col] == kept["_kept"], "left_semi").dropDuplicates([id_col])
-    return one.unionByName(docs.filter(F.col(id_col).isNull()).dropDuplicates([text_col]))
+    rid = next(x for n in range(len(docs.columns) + 1) if (x := f"__rid_{n}") not in docs.columns)
+    numbered = spool(docs.withColumn(rid, F.monotonically_increasing_id()))
+    found = near_duplicates(numbered.select(F.col(rid).alias("doc_id"), F.col(text_col).alias("text")), width=width, percent=percent)
+    ids = numbered.select(F.col(rid).alias("doc_id"), F.col(id_col).cast("long").alias("own"))
+    first = F.min(F.struct(F.col("own").isNull(), "own", "doc_id"))["doc_id"]
+    kept = found.join(ids, "doc_id").groupBy("component_id").agg(first.alias(rid)).select(rid)
+    return numbered.join(kept, rid, "left_semi").select(*docs.columns)

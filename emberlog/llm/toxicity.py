@@ -9,7 +9,8 @@ a single pass over whole texts. Words are runs of letters and digits in lower ca
 
 Defined results: null and empty texts have no features and get the score of the bias; labels that are null or belong to
 no document are ignored, of contradicting labels of an id the largest counts; without any usable label every score is 0;
-repeated rows are scored each for itself.
+repeated rows are scored each for itself; an empty table gives an empty one; a column of the score's name is replaced, all
+others stay, whatever their names. Rows of the sample that tie in their hash go by id.
 """
 from __future__ import annotations
 
@@ -141,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", bits: int = BITS, into: str = "score") -> DataFrame:
-    """``docs`` with a column for the score; all other columns as they are."""
+    """``docs`` with a column for the score (in place of one of that name, if there is); all other columns as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     base = docs.drop(into) if into in docs.columns else docs
     schema = base.withColumn(into, F.lit(0.0)).schema
