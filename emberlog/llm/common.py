@@ -9,7 +9,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from ..session import shared_dir
 
@@ -19,6 +20,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 _at_work: list = [None, lambda: None]
 
 
+#: Tables that spool() has written and nothing has deleted.
+_spooled: set[str] = set()
+
+
 def spool(df: DataFrame) -> DataFrame:
     """df, written to the shared folder as Parquet and read back: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
@@ -26,14 +31,40 @@ def spool(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.spooled = path
+    _spooled.add(path)
     return out
 
 
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _spooled.discard(at)
+
+
 def unspool(df: DataFrame) -> None:
     """Deletes what spool() has written for df, once nothing reads it any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df.spooled)
-    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df.spooled)
+
+
+def sweep(spark: SparkSession, *keep: DataFrame) -> None:
+    """Deletes all tables that spool() has written but those of ``keep``. Results that still read the others are lost."""
+    for path in sorted(_spooled - {df.spooled for df in keep}):
+        _delete(spark, path)
+
+
+def running(df: DataFrame, order: list[Column], **sums: str) -> DataFrame:
+    """df with ``place`` (from 1, in a total order) and, for each name of ``sums``, the sum of its column over the rows before.
+
+    Rows are dealt by ranges and numbered inside them; only one row per range goes through a single task.
+    """
+    rows = spool(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    each = rows.groupBy("_range").agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_{k}") for k, c in sums.items()])
+    earlier, zero = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1), F.lit(0).cast("long")
+    bases = each.select("_range", *[F.coalesce(F.sum(c).over(earlier), zero).alias(c) for c in ("_n", *(f"_{k}" for k in sums))])
+    own = Window.partitionBy("_range").orderBy(*order)
+    before = own.rowsBetween(Window.unboundedPreceding, -1)
+    found = rows.join(F.broadcast(bases), "_range").withColumn("place", F.row_number().over(own) + F.col("_n"))
+    return found.withColumns({k: F.coalesce(F.sum(c).over(before), zero) + F.col(f"_{k}") for k, c in sums.items()}).drop("_range", "_n", *(f"_{k}" for k in sums))
 
 
 def release(spark: SparkSession) -> None:

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, spool
+from .common import WORD, running, spool
 
 ITEM = "struct<o:bigint,h:bigint,id:bigint,r:bigint,s:bigint,x:double>"
 
@@ -57,17 +57,15 @@ def word_count(text: Column) -> Column:
 def targets(units: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
     """src, source_size, n (documents with words), target; one row per source. units: src, size, copies."""
     sums = units.groupBy("src").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.sum(F.when(F.col("size") > 0, F.col("copies")).otherwise(0)).alias("n"))
-    rank = F.row_number().over(Window.orderBy(F.col("src").asc_nulls_last()))
-    ranked = sums.withColumn("rank", rank).withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.col("rank") - 1) % len(weights) + 1).cast("int")).cast("long"))
-    order = Window.orderBy(F.col("source_size") / F.col("weight"), "rank")
-    before, every = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    zero = F.lit(0).cast("long")
-    left = F.sum("source_size").over(every) - cap * F.coalesce(F.sum("source_size").over(before), zero)
-    level = left / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), zero))
-    ranked = ranked.withColumn("level", level).withColumn("place", F.row_number().over(order))
-    fits = F.when(F.col("level") * F.col("weight") <= cap * F.col("source_size"), F.struct("place", "level"))
-    chosen = ranked.withColumn("chosen", F.min(fits).over(every)["level"])
-    return chosen.select("src", "source_size", "n", F.least((cap * F.col("source_size")).cast("double"), F.coalesce("chosen", F.lit(0.0)) * F.col("weight")).alias("target"))
+    ranked = running(sums, [F.col("src").asc_nulls_last()]).withColumnRenamed("place", "rank")
+    ranked = ranked.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.col("rank") - 1) % len(weights) + 1).cast("int")).cast("long"))
+    ranked = running(ranked, [F.col("source_size") / F.col("weight"), F.col("rank").asc()], size_before="source_size", weight_before="weight")
+    every = ranked.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    level = (F.lit(every["size"] or 0) - cap * F.col("size_before")) / (F.lit(every["weight"] or 1) - F.col("weight_before"))
+    ranked = spool(ranked.withColumn("level", level))
+    # the level of the first source, in order of cap * size / weight, that its cap does not bind
+    chosen = ranked.filter(F.col("level") * F.col("weight") <= cap * F.col("source_size")).agg(F.min_by("level", "place")).first()[0]
+    return ranked.select("src", "source_size", "n", F.least((cap * F.col("source_size")).cast("double"), F.lit(float(chosen or 0.0)) * F.col("weight")).alias("target"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, block: int = 128, seed: int = 20) -> DataFrame:

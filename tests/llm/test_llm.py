@@ -1,6 +1,7 @@
 """The text operators against brute force, round trips, planted cases and awkward rows."""
 import hashlib
 import math
+import os
 import random
 import re
 import time
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from emberlog.llm import chat_format, jaccard_join, license_scan, mixing, packing, quality_rules, queries, secret_scan, token_counts, topk_search, toxicity
+from emberlog.llm import chat_format, common, jaccard_join, license_scan, mixing, packing, quality_rules, queries, secret_scan, token_counts, topk_search, toxicity
 from emberlog.llm.word_ids import WordIds
 
 DIR = "/root/testdata/sf0.001"
@@ -649,6 +650,24 @@ def test_toxicity_of_awkward_rows(spark, odd):
     assert toxicity.score(odd.limit(0), model).count() == 0 and not toxicity.fit(odd.limit(0), labels, held_out=False).trained
 
 
+def test_running_sums(spark):
+    r = random.Random(6)
+    rows = [(r.choice([None, f"s{i}"]) if i == 7 else f"s{i}", r.randrange(100)) for i in range(300)]
+    got = common.running(spark.createDataFrame(rows, "src string, n long").repartition(7), [F.col("src").asc_nulls_last()], before="n").collect()
+    want, total = [], 0
+    for place, (src, n) in enumerate(sorted(rows, key=lambda x: (x[0] is None, x[0] or "")), 1):
+        want.append((src, n, place, total))
+        total += n
+    assert sorted(((x["src"], x["n"], x["place"], x["before"]) for x in got), key=lambda x: x[2]) == want
+    assert common.running(spark.createDataFrame([], "src string, n long"), [F.col("src").asc()], before="n").count() == 0
+
+
+def test_sweep_deletes_spooled_tables(spark):
+    one, two = (common.spool(spark.range(5)) for _ in range(2))
+    common.sweep(spark, two)
+    assert two.count() == 5 and not os.path.exists(one.spooled.removeprefix("file://")) and os.path.exists(two.spooled.removeprefix("file://"))
+
+
 def test_workers_let_go():
     toxicity.begin()
     toxicity.features("some words")
