@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.llm import jaccard_join, mixing, packing, secret_scan, toxicity
-from emberlog.llm.common import spool
+from emberlog.llm.common import spool, sweep
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -63,10 +63,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents below ``sf_dir``."""
+    """All stages over the documents below ``sf_dir``. Deletes the tables that stages (and other operators, before) have spooled."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = spool(docs)
+            sweep(spark, docs)  # what the stage has written on its way
     return docs
