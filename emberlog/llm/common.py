@@ -67,6 +67,13 @@ def running(df: DataFrame, order: list[Column], **sums: str) -> DataFrame:
     return found.withColumns({k: F.coalesce(F.sum(c).over(before), zero) + F.col(f"_{k}") for k, c in sums.items()}).drop("_range", "_n", *(f"_{k}" for k in sums))
 
 
+def split_join(left: DataFrame, right: DataFrame, key: str, hot: Column) -> DataFrame:
+    """left joined to right by ``key``, which is unique in right. The rows of right that are ``hot`` are broadcast, so that many rows of left with
+    one key stay where they are; the caller proves that hot rows are few."""
+    few, many = F.broadcast(right.filter(hot)), right.filter(~hot)
+    return left.join(few, key).unionByName(left.join(F.broadcast(right.filter(hot).select(key)), key, "left_anti").join(many, key))
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that nothing refers to any more; it does so when the driver collects garbage."""
     gc.collect()

@@ -6,6 +6,8 @@
    H differences leave at least e + 1 segments alike, so two sets with at most e empty segments agree in one that is not
    empty. A set gives one key for each non-empty segment (sets with more than e empty ones also give keys for those).
    Unlike a single shingle, a segment holds several, so passages that many documents share make no large groups.
+   Keys that many sets share (by a sample that only chooses the way, at most ``HOT`` of them) are not gathered: their hubs
+   are partial minima, sent to where their sets are.
 3. Vertices that meet at a key are tied to the smallest of them, its hub. The members of a hub are a tile: any linked
    pair is together in one. A tile of many members is dealt in blocks, each with the hub: a block joins its own members.
    Members that are joined to the hub by then are joined to each other, whatever their block. Only the loose ones, which
@@ -36,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import at_work, by_slices, release, signed, spool, unspool
+from .common import at_work, by_slices, release, signed, split_join, spool, unspool
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -167,6 +169,28 @@ def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n long, d long, keys array<long>")
 
 
+#: Keys and hubs with more than this part of all rows are hot, so at most this many are.
+HOT = 4096
+#: One in so many sets is looked at for hot keys, and a hot key must be met so often in them.
+LOOK, OFTEN = 256, 16
+
+
+def _met(keys: DataFrame) -> DataFrame:
+    """hub, d: every other set of a key with the key's smallest. keys: d and an array of keys."""
+    rows = keys.filter("size(keys) > 0").select(F.explode("keys").alias("key"), "d")
+    looked = keys.filter(F.pmod(F.xxhash64("d"), F.lit(LOOK)) == 0)
+    total = looked.agg(F.sum(F.greatest(F.size("keys"), F.lit(0)))).first()[0] or 0
+    counts = looked.select(F.explode("keys").alias("key")).groupBy("key").count()
+    hot = spool(counts.filter((F.col("count") * HOT > total) & (F.col("count") >= OFTEN)).select("key"))
+    if hot.isEmpty():
+        return rows.repartition("key").sortWithinPartitions("key", "d").mapInArrow(_meetings, "hub long, d long").distinct()
+    shared = rows.join(F.broadcast(hot), "key")
+    hubs = spool(shared.groupBy("key").agg(F.min("d").alias("hub")))
+    often = shared.join(F.broadcast(hubs), "key").filter("hub <> d").select("hub", "d")
+    others = rows.join(F.broadcast(hot), "key", "left_anti").select("key", "d")
+    return others.repartition("key").sortWithinPartitions("key", "d").mapInArrow(_meetings, "hub long, d long").union(often).distinct()
+
+
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, d) sorted by both: ties each other d of a key to the key's smallest."""
     last_key, last_hub = None, 0
@@ -346,11 +370,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_shingles, component_id: a row per document, with the smallest id of its class.
 
     A tile's first pass has blocks of ``block`` members, or ``blocks`` blocks until these hold 8192 members each. In the
-    second, ``64 * block`` loose members meet ``16 * block`` members at a time.
+    second, ``32 * block`` loose members meet ``32 * block`` members at a time (for tasks of a size, equal shares deal the fewest
+    rows).
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     keys = spool(_sets(docs, width, percent))
-    met = spool(keys.filter("size(keys) > 0").select(F.explode("keys").alias("key"), "d").repartition("key").sortWithinPartitions("key", "d").mapInArrow(_meetings, "hub long, d long").distinct())
+    met = spool(_met(keys))
     own = spool(keys.select("doc_id", "n", "d"))
     unspool(keys)
     release(docs.sparkSession)
@@ -359,18 +384,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = met.select("d").union(met.select(F.col("hub").alias("d"))).distinct().join(first, "d")
     sets = _sets_of(docs, _filter_of(members.select("least")), width)
     parts = F.greatest(F.least(F.ceil(F.col("n") / block), F.lit(blocks)), F.ceil(F.col("n") / 8192)).cast("int")
-    size = spool(met.groupBy("hub").agg((F.count("*") + 1).alias("n")).select("hub", parts.alias("parts")))
+    size = spool(met.groupBy("hub").agg((F.count("*") + 1).alias("n")).select("hub", "n", parts.alias("parts")))
+    hot = F.col("n") * HOT > met.count()
     hubs = size.withColumn("i", _every_part("parts")).select("hub", "i", F.col("hub").alias("d"), F.lit(HUB).alias("kind"), "parts")
-    rows = met.join(size, "hub").select("hub", _in_part("parts").alias("i"), "d", F.lit(MEMBER).alias("kind"), "parts").union(hubs)
+    rows = split_join(met, size, "hub", hot).select("hub", _in_part("parts").alias("i"), "d", F.lit(MEMBER).alias("kind"), "parts").union(hubs)
     first_pass = _link(rows.withColumn("j", F.lit(0)), sets, percent)
     loose = spool(first_pass.filter("hub IS NOT NULL").select("hub", F.col("a").alias("d")).distinct())
     wide = spool(loose.groupBy("hub").agg(F.count("*").alias("m")).join(met.groupBy("hub").agg(F.count("*").alias("n")), "hub").select(
-        "hub", F.ceil(F.col("n") / (16 * block)).cast("int").alias("parts"), F.ceil(F.col("m") / (64 * block)).cast("int").alias("visits")))
+        "hub", "n", F.ceil(F.col("n") / (32 * block)).cast("int").alias("parts"), F.ceil(F.col("m") / (32 * block)).cast("int").alias("visits")))
     links = first_pass
     if not wide.isEmpty():
-        members = met.join(wide, "hub").join(loose.withColumn("is_loose", F.lit(True)), ["hub", "d"], "left")
+        members = split_join(met, wide, "hub", hot).join(loose.withColumn("is_loose", F.lit(True)), ["hub", "d"], "left")
         members = members.select("hub", _in_part("parts").alias("i"), _every_part("visits").alias("j"), "d", F.when(F.col("is_loose"), LOOSE).otherwise(MEMBER).alias("kind"), "parts")
-        visitors = loose.join(wide, "hub").select("hub", _every_part("parts").alias("i"), _in_part("visits").alias("j"), "d", F.lit(VISITOR).alias("kind"), "parts")
+        visitors = split_join(loose, wide, "hub", hot).select("hub", _every_part("parts").alias("i"), _in_part("visits").alias("j"), "d", F.lit(VISITOR).alias("kind"), "parts")
         again = members.select("d").distinct().join(first, "d").select("least")
         links = links.union(_link(members.unionByName(visitors), _sets_of(docs, _filter_of(again), width), percent, second=True))
     links = links.filter("hub IS NULL").select("a", "b")

@@ -723,7 +723,11 @@ def test_keep_one_judges_rows(spark):
     assert sorted(got, key=str) == sorted([(5, x), (3, y + " more"), (None, z), (None, None), (None, None), (8, ""), (9, None)], key=str)
 
 
-def test_loose_members_of_large_tiles(spark):
+@pytest.mark.parametrize("hot", [False, True])
+def test_loose_members_of_large_tiles(spark, monkeypatch, hot):
+    if hot:  # keys and hubs count as hot from a few rows on
+        for name, value in (("LOOK", 2), ("OFTEN", 2)):
+            monkeypatch.setattr(jaccard_join, name, value)
     r = random.Random(11)
     texts, words = {}, [f"t{k}" for k in range(60)]
     for i in range(240):  # a drifting chain: few are linked to any one hub
