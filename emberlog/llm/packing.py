@@ -60,7 +60,7 @@ def pieces(docs: DataFrame, length: int, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin()
         end, narrow = np.array([end_id], "<u4").tobytes(), id_bits(path, end_id) == 16
-        for part in slices(batches, "text", 1 << 23):
+        for part in slices(batches, "text", 1 << 22):
             made: dict[str, list] = {x: [] for x in PIECES.names}
             encoded = word_ids(path).encode(part.column("text").fill_null(""))
             for key, rid, data in zip(part.column("doc_id").to_pylist(), part.column("rid").to_pylist(), encoded):
@@ -71,6 +71,7 @@ def pieces(docs: DataFrame, length: int, id_col: str = "doc_id", text_col: str =
                     for name, v in zip(PIECES.names, (key, rid, i, at // 4, len(cut) // 4, zlib.crc32(cut), ids)):
                         made[name].append(v)
             yield pa.RecordBatch.from_pydict(made, schema=PIECES)
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECE_FIELDS)
 
