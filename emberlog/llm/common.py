@@ -3,7 +3,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import _spooled, spool
 
 #: Words by ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,21 +19,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 _at_work: list = [None, lambda: None]
 
 
-#: Tables that spool() has written and nothing has deleted.
-_spooled: set[str] = set()
-
-
-def spool(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder as Parquet and read back: cuts the lineage, and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/emberlog-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.spooled = path
-    _spooled.add(path)
-    return out
-
-
 def _delete(spark: SparkSession, at: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
